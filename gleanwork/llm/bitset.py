@@ -1,0 +1,40 @@
+"""Bitsets of fixed size, built and probed with SQL functions only.
+
+A bitset is a one-row table of 4 KB blocks, so its size is known before anything is computed and
+does not grow with the data. It reaches other rows as a scalar subquery.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+BLOCK = 32768  # bits that bitmap_construct_agg() holds
+MAX_BITS = 1 << 30
+
+
+def checked_bits(bits: int) -> int:
+    """bits, rounded up to whole blocks; ValueError beyond 128 MB."""
+    if not 0 < bits <= MAX_BITS:
+        raise ValueError(f"a bitset may have 1 to {MAX_BITS} bits, not {bits}")
+    return -(-bits // BLOCK) * BLOCK
+
+
+def build(df: DataFrame, positions: Column, bits: int) -> DataFrame:
+    """A table of one row and one column, blocks: array<binary>, with the bits at the given positions (longs in [0, bits); null: none)."""
+    bits = checked_bits(bits)
+    spark = df.sparkSession
+    at = df.select(positions.alias("at")).select(F.floor(F.col("at") / BLOCK).cast("long").alias("block"), (F.col("at") % BLOCK).alias("bit"))
+    blank = spark.range(bits // BLOCK).select(F.col("id").alias("block"), F.lit(None).cast("long").alias("bit"))
+    blocks = at.filter(F.col("bit").isNotNull()).union(blank).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    rows = F.sort_array(F.collect_list(F.struct("block", "bitmap")))
+    return cut(blocks.agg(F.transform(rows, lambda x: x["bitmap"]).alias("blocks")), "bitset")
+
+
+def has(bitset: DataFrame, position: Column) -> Column:
+    """Whether the bit at the position (a long in [0, bits)) is set."""
+    block = F.get(bitset.scalar(), F.floor(position / BLOCK).cast("int"))
+    byte = F.substring(block, F.floor(position % BLOCK / 8).cast("int") + 1, 1)
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int")) == 1
