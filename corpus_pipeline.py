@@ -1,26 +1,65 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and is the
+next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanwork.llm import packing, simhash
-from gleanwork.llm.common import cut, table
+from gleanwork.llm import bitset, decontam, langid, linededup, packing, simhash
+from gleanwork.llm.common import SPACES, cut, table
 from gleanwork.llm.queries import tokenizer_path
 
+#: A text's regression value for its language, from -1 to 1 mapped to 0 to 1, that rejects it.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language can't be told: no text, no letter, or like none of the learned languages.
+
+    Learns from the documents that have a language; if none has, only texts without letters go.
+    """
+    found = langid.identify(docs, model := langid.train(docs))
+    keep = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.filter(keep).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that are similar to earlier ones. Documents that lose all their words this way go; n_chars is the new length."""
+    found = linededup.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.translate("text", SPACES, "") == "")
+    found = found.filter(~F.coalesce(emptied, F.lit(False)))
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    found = simhash.simhash_dedup(docs, shingle=5).select("doc_id", "component_id").distinct()
-    return docs.join(found.filter("doc_id <=> component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates stays: the one with the smallest id. Fingerprints are of five-word shingles; rows with a null id stay."""
+    found = simhash.simhash_dedup(docs, shingle=5)
+    gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(linededup.FILTER_BITS))
+    chosen = bitset.build(gone, at, linededup.FILTER_BITS)
+    # Only documents that may be among those that go take part in the join.
+    maybe = F.coalesce(bitset.has(chosen, at), F.lit(False))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(~F.col("contaminated")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left: the rows of op4."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
 
+#: Language models and tokenizers can't be expressed in SQL: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -33,8 +33,8 @@ def build(df: DataFrame, positions: Column, bits: int) -> DataFrame:
     return cut(blocks.agg(F.transform(rows, lambda x: x["bitmap"]).alias("blocks")), "bitset")
 
 
-def has(bitset: DataFrame, position: Column) -> Column:
-    """Whether the bit at the position (a long in [0, bits)) is set."""
-    block = F.get(bitset.scalar(), F.floor(position / BLOCK).cast("int"))
+def has(bitset: DataFrame | Column, position: Column) -> Column:
+    """Whether the bit at the position (a long in [0, bits)) is set; bitset: its table, or a column with its blocks."""
+    block = F.get(bitset if isinstance(bitset, Column) else bitset.scalar(), F.floor(position / BLOCK).cast("int"))
     byte = F.substring(block, F.floor(position % BLOCK / 8).cast("int") + 1, 1)
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int")) == 1

@@ -58,9 +58,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "hashed",
     )
-    best = F.max(F.struct("_chars", F.col("_id").isNotNull().alias("has"), (-F.col("_id")).alias("neg")))
+    best = F.min(F.struct((-F.col("_chars")).alias("chars"), F.col("_id").isNull().alias("none"), F.col("_id").alias("keep_id")))
     groups = rows.filter("_hash IS NOT NULL").groupBy("_hash").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    groups = cut(groups.select("_hash", (-F.col("best.neg")).alias("keep_id"), "group_size"), "groups")
+    groups = cut(groups.select("_hash", "best.keep_id", "group_size"), "groups")
     # A row without a full hash gets a key of its own, else all of them would meet in one task.
     own = F.coalesce(F.col("_hash"), F.unhex(F.lpad(F.hex(F.xxhash64("_id")), 16, "0")))
     out = rows.withColumn("_key", own).join(groups.withColumnRenamed("_hash", "_key"), "_key", "left")

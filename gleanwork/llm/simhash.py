@@ -63,15 +63,6 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return run(text)
 
 
-def _home(half: Column) -> tuple[Column, Column]:
-    """(syndrome, home anchor) of a half's lower 31 bits."""
-    word = half.bitwiseAND(F.lit((1 << 31) - 1))
-    s = F.lit(0)
-    for k, mask in enumerate(CHECKS):
-        s = s + (F.bit_count(word.bitwiseAND(F.lit(mask))) % 2) * (1 << k)
-    return s, F.when(s == 0, word).otherwise(word.bitwiseXOR(F.expr("shiftleft(1L, s - 1)")))
-
-
 def links(prints: DataFrame, col: str = "fingerprint") -> DataFrame:
     """(a, b): all pairs of different fingerprints, a < b, that differ in three bits or fewer, each once or more.
 
@@ -80,9 +71,9 @@ def links(prints: DataFrame, col: str = "fingerprint") -> DataFrame:
     f = F.col("f")
     halves = prints.select(F.col(col).alias("f")).select("f", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     halves = halves.withColumn("half", F.when(F.col("side") == 0, f.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(f, 32)))
-    word = F.col("half").bitwiseAND(F.lit((1 << 31) - 1))
-    s, _ = _home(F.col("half"))
-    halves = halves.select("f", "side", word.alias("w"), s.alias("s"))
+    halves = halves.select("f", "side", F.col("half").bitwiseAND(F.lit((1 << 31) - 1)).alias("w"))
+    checks = [(F.bit_count(F.col("w").bitwiseAND(F.lit(mask))) % 2) * (1 << k) for k, mask in enumerate(CHECKS)]
+    halves = halves.withColumn("s", sum(checks[1:], checks[0]))  # the syndrome: which bit is off, 0 for codewords
     home = F.when(F.col("s") == 0, F.col("w")).otherwise(F.col("w").bitwiseXOR(F.expr("shiftleft(1L, s - 1)")))
     # Codewords two bits away: flip positions i and i xor s, each such pair once.
     near = F.expr("transform(filter(sequence(1, 31), i -> s > 0 AND i <> s AND i < (i ^ s)), i -> w ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1))")
