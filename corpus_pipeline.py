@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import bitset, decontam, langid, linededup, packing, simhash
-from gleanwork.llm.common import SPACES, cut, table
+from gleanwork.llm.common import SPACES, cut, free_names, table
 from gleanwork.llm.queries import tokenizer_path
 
 #: A text's regression value for its language, from -1 to 1 mapped to 0 to 1, that rejects it.
@@ -22,17 +22,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the documents that have a language; if none has, only texts without letters go.
     """
-    found = langid.identify(docs, model := langid.train(docs))
-    keep = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lang, score = free_names(docs, "lang_pred", "score")
+    found = langid.identify(docs, model := langid.train(docs), names=(lang, score))
+    keep = (F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.filter(keep).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that are similar to earlier ones. Documents that lose all their words this way go; n_chars is the new length."""
-    found = linededup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.translate("text", SPACES, "") == "")
+    n_lines, n_removed = free_names(docs, "n_lines", "n_removed")
+    found = linededup.dedup_lines(docs, names=(n_lines, n_removed))
+    emptied = (F.col(n_removed) > 0) & (F.translate("text", SPACES, "") == "")
     found = found.filter(~F.coalesce(emptied, F.lit(False)))
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", F.when(F.col(n_removed) > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +51,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    names = tuple(free_names(docs, "contaminated", "items", "best_score"))
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), names=names)
+    return found.filter(~F.col(names[0])).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop_cut, new_path
+
+__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "cut", "drop_cut", "free_names", "held_out", "new_path", "table"]
+
 #: A-Z, and what they become: lower-casing that leaves all other characters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII white space of the contracts, as the characters of a regex class and literally.
@@ -18,41 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) an own one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='gleanwork-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/gleanwork-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again.
-
-    This cuts the lineage like checkpoint(), survives lost executors, and later reads prune columns.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the table behind a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

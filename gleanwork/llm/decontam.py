@@ -178,8 +178,8 @@ def index_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return Index(sorted((r["i"], *(parts(r["q"]) if answer_col is None else (r["q"], r["a"]))) for r in rows.collect()))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **item_columns: str) -> DataFrame:
-    """docs with three more columns: contaminated, items (sorted array of item ids), best_score (0 without items).
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, names: tuple[str, str, str] = ("contaminated", "items", "best_score"), **item_columns: str) -> DataFrame:
+    """docs with three more columns, by default contaminated, items (sorted array of item ids), best_score (0 without items).
 
     A document is contaminated by an item if one of its passages reaches the item's threshold and
     holds at least `overlap` of the item's different five-word shingles, in its question and in its
@@ -187,7 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
     underscores, in lower case. There is no shuffle.
 
     Nulls: a null or empty text holds nothing, nor does any text if there are no items. Repeated rows
-    give repeated results; an empty table of docs gives no rows. Clashing columns of docs are replaced.
+    give repeated results; an empty table of docs gives no rows. Columns of
+    docs with the new ones' names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(index_of(items, **item_columns))
 
@@ -197,5 +198,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
             found = [held.value.hits(t, threshold, overlap) for t in batch]
             yield pd.DataFrame({"items": [sorted(x) for x in found], "best_score": [max(x.values(), default=0.0) for x in found]})
 
-    rows = docs.select(*[c for c in docs.columns if c not in ("contaminated", "items", "best_score")], run(F.col(text_col)).alias("_found"))
-    return rows.select("*", (F.size("_found.items") > 0).alias("contaminated"), "_found.items", "_found.best_score").drop("_found")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("row"), run(F.col(text_col)).alias("found"))
+    new = F.size("found.items") > 0, F.col("found.items"), F.col("found.best_score")
+    return rows.select("row.*", *[c.alias(name) for c, name in zip(new, names)])

@@ -117,8 +117,8 @@ def train(docs: DataFrame, learns: Column | None = None, id_col: str = "doc_id",
     return fit([r["t"] for r in pairs], [r["lang"] for r in pairs])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with two more columns, lang_pred and score (clashing columns of docs are replaced).
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns, by default lang_pred and score (columns of docs with these names are replaced).
 
     Nulls: a null text, or one without letters, is `und` with score 0; so is every text if nothing
     was learned. Only the text is looked at, and whole. An empty table gives no rows.
@@ -131,5 +131,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             found, scores = held.value.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": found, "score": scores})
 
-    rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], run(F.col(text_col)).alias("_found"))
-    return rows.select("*", "_found.lang_pred", "_found.score").drop("_found")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("row"), run(F.col(text_col)).alias("found"))
+    return rows.select("row.*", F.col("found.lang_pred").alias(names[0]), F.col("found.score").alias(names[1]))

@@ -132,8 +132,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return occurrences.select("id", "line", "k", "k2").join(firsts, ["k", "k2"]).select("id", "line", removed.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, **options: int) -> DataFrame:
-    """docs with text_col less its removed lines, and two more columns: n_lines and n_removed (long).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, names: tuple[str, str] = ("n_lines", "n_removed"), **options: int) -> DataFrame:
+    """docs with text_col less its removed lines, and two more columns, by default n_lines and n_removed (long).
 
     Lines are separated by line feeds; a line's tokens are its different words (runs without ASCII
     white space, in lower case). A line is removed if an earlier one, by (id, number in its text),
@@ -143,26 +143,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Nulls: a null text stays null and has no lines; rows with a null id stay as they are and remove
     nothing. Rows that share an id are one document: a line number is removed in all of them if in
     one, so repeated rows don't remove each other's lines. Empty tables give no rows. Columns of docs
-    that are called n_lines or n_removed are replaced, other ones kept.
+    with the new ones' names are replaced, other ones kept.
     """
     filter_bits = options.get("filter_bits", FILTER_BITS)
     lines = cut(similar_lines(docs, id_col, text_col, similarity, **options), "judged")
     # By document, for those that lose a line: which numbers go. Lines without tokens have no row.
-    by_line = lines.repartition("id").groupBy("id", "line").agg(F.max("removed").alias("removed"))
-    gone = by_line.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("gone"))
-    gone = cut(gone.filter(F.size("gone") > 0), "gone")
+    by_line = lines.filter("removed").repartition("id").groupBy("id", "line").agg(F.lit(True).alias("removed"))
+    gone = cut(by_line.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
     chosen = bitset.build(gone, at(F.col("id")), filter_bits)
-    base = docs.drop("n_lines", "n_removed")
-    maybe = F.coalesce(bitset.has(chosen, at(F.col(id_col))), F.lit(False))
-    hit = base.filter(maybe).join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
-    split = F.split(F.col(text_col), "\n")
-    # The lines between removed ones, as slices: two neighbours in `gone` bound each.
-    edges = F.concat(F.array(F.lit(-1)), F.filter("gone", lambda i: i < F.size(split)), F.array(F.size(split)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(F.col("_split"), F.get(F.col("_edges"), i - 1) + 2, F.get(F.col("_edges"), i) - F.get(F.col("_edges"), i - 1) - 1)))
-    cleaned = hit.withColumn("_split", split).withColumn("_edges", edges).withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_split")), F.lit(0)).cast("long"))
-    loses = F.col("gone").isNotNull() & F.col(text_col).isNotNull()
-    cleaned = cleaned.withColumn("n_removed", F.when(loses, F.size("_edges") - 2).otherwise(F.lit(0)).cast("long"))
-    cleaned = cleaned.withColumn(text_col, F.when(loses, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("gone", "_split", "_edges")
-    rest = base.filter(~maybe).withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
-    return cleaned.unionByName(rest)
+    kept = [c for c in docs.columns if c not in names]
+    base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Only documents that may lose a line take part in the join.
+    maybe = F.coalesce(bitset.has(chosen, at(F.col("id"))), F.lit(False))
+    hit = base.filter(maybe).join(gone, "id", "left").select("row", "text", "gone")
+    rest = base.filter(~maybe).select("row", "text", F.lit(None).cast("array<int>").alias("gone"))
+    rows = hit.union(rest).withColumn("lines", F.split("text", "\n"))
+    # What stays lies between removed lines: two neighbours in `edges` bound a slice each.
+    size = F.size("lines")
+    rows = rows.withColumn("edges", F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.concat(F.array(F.lit(-1)), F.filter("gone", lambda i: i < F.size("lines")), F.array(size))))
+    edge = lambda i: F.get(F.col("edges"), i)
+    between = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.slice(F.col("lines"), edge(i - 1) + 2, edge(i) - edge(i - 1) - 1))
+    loses = F.col("edges").isNotNull()
+    text = F.when(loses, F.array_join(F.flatten(between), "\n")).otherwise(F.col("text"))
+    n_lines = F.when(F.col("text").isNotNull(), size).otherwise(F.lit(0)).cast("long")
+    n_removed = F.when(loses, F.size("edges") - 2).otherwise(F.lit(0)).cast("long")
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
+    return rows.select(*columns, n_lines.alias(names[0]), n_removed.alias(names[1]))

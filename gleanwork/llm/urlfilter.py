@@ -142,8 +142,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     listed = Cascade(rules.select("key"), universe)
     blocked = Cascade(rules.filter("block").select("key"), universe)
     # Longest first: the first listed candidate is the rule.
-    # Each bitset column is used once, so the optimiser puts its subquery in its place.
-    hit = F.get(F.filter(candidates, lambda c: listed.has(c["key"], "_level")), F.lit(0))["key"]
-    rows = urls.withColumns(listed.columns("_level")).select("id", "host", "path", hit.alias("rule"))
+    # Candidates and bitset columns are used once each, so the optimiser makes one projection of these
+    # three, with the subqueries in the lambda, and rows never carry a bitset.
+    rows = urls.withColumn("candidates", candidates).withColumns(listed.columns("_level"))
+    hit = F.get(F.filter("candidates", lambda c: listed.has(c["key"], "_level")), F.lit(0))["key"]
+    rows = rows.select("id", "host", "path", hit.alias("rule"))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocked.has(F.col("rule")), "block").otherwise("allow")
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
