@@ -39,11 +39,11 @@ def image_documents(images: DataFrame, captured_at: Column, **gate) -> DataFrame
     )
 
 
-def page_text(own: Column, poppler: Column, ocr: Column, detect=T.th_en) -> Column:
+def page_text(own: Column, plain: Column, ocr: Column, detect=T.th_en) -> Column:
     """One PDF page: the first of the two text layers that passes the gate, else what OCR read; stripped."""
     good = lambda t: T.qc_ok(t, 30) & T.usable_th_en(t, 30, 0.55, detect)
-    own, poppler = T.strip(F.coalesce(own, F.lit(""))), T.strip(F.coalesce(poppler, F.lit("")))
-    return F.when(good(own), own).when(good(poppler), poppler).otherwise(T.strip(F.coalesce(ocr, F.lit(""))))
+    own, plain = T.strip(F.coalesce(own, F.lit(""))), T.strip(F.coalesce(plain, F.lit("")))
+    return F.when(good(own), own).when(good(plain), plain).otherwise(T.strip(F.coalesce(ocr, F.lit(""))))
 
 
 def accepted(text: Column, min_chars: int = 150, detect=T.th_en) -> Column:
@@ -62,8 +62,8 @@ def pdf_cascade(markdown: Column, plain: Column, pages: Column, min_chars: int =
 
 
 def pdf_documents(pdfs: DataFrame, captured_at: Column, detect=T.th_en, separator: str = "") -> DataFrame:
-    """PDFs as DOCUMENT rows without dedup. pdfs: url, page, markdown, plain, pages (array<struct<own, poppler, ocr>>)."""
-    texts = F.transform(F.coalesce("pages", F.array()), lambda p: page_text(p["own"], p["poppler"], p["ocr"], detect))
+    """PDFs as DOCUMENT rows without dedup. pdfs: url, page, markdown, plain, pages (array<struct<own, plain, ocr>>)."""
+    texts = F.transform(F.coalesce("pages", F.array()), lambda p: page_text(p["own"], p["plain"], p["ocr"], detect))
     rows = pdfs.withColumn("text_full", pdf_cascade(F.col("markdown"), F.col("plain"), texts, detect=detect, separator=separator)).filter("text_full IS NOT NULL")
     hash_ = F.sha1("text_full")
     return rows.select(

@@ -20,7 +20,7 @@ class HtmlExtractor(Protocol):
 
 class PdfExtractor(Protocol):
     def __call__(self, content: bytes) -> dict:
-        """markdown, plain and pages (each with own, poppler and ocr text), any of them empty."""
+        """markdown, plain and pages (each with own, plain and ocr text), any of them empty."""
 
 
 class OcrEngine(Protocol):
@@ -28,6 +28,38 @@ class OcrEngine(Protocol):
         """img_h, img_w, boxes."""
 
 
+PDF = "markdown string, plain string, pages array<struct<own:string,plain:string,ocr:string>>"
+OCR = "img_h int, img_w int, boxes array<struct<poly:array<struct<x:double,y:double>>,text:string,conf:double>>"
+
+
+def _by_row(kind: str, fields: tuple[str, ...], make: Callable[[], Callable[[bytes], dict]]) -> Callable[[Column], Column]:
+    """A Column function of file contents. The engine is made once per stream of batches; files that it fails on have null fields."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        engine = make()
+        for batch in batches:
+            rows = []
+            for content in batch:
+                try:
+                    rows.append(engine(bytes(content)) if content is not None else {})
+                except Exception:  # noqa: BLE001  a file that can't be read is a file without contents
+                    rows.append({})
+            yield pd.DataFrame([[r.get(k) for k in fields] for r in rows], columns=fields, dtype="object")
+
+    return run
+
+
+def extract_pdf(make: Callable[[], PdfExtractor]) -> Callable[[Column], Column]:
+    """content -> struct of PDF, for pdf_documents()."""
+    return _by_row(PDF, ("markdown", "plain", "pages"), make)
+
+
+def read_picture(make: Callable[[], OcrEngine]) -> Callable[[Column], Column]:
+    """content -> struct of OCR, for image_documents()."""
+    return _by_row(OCR, ("img_h", "img_w", "boxes"), make)
+
+
 #: Elements without text of the page, and those that end a line.
 SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "nav", "head"))
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main ol p pre section table td th tr ul".split())

@@ -170,7 +170,7 @@ def test_extract_and_documents(spark):
 
 def test_pdf_and_image_documents(spark):
     good = "Readable English text of a page. " * 10
-    kind = "url string, page string, markdown string, plain string, pages array<struct<own:string,poppler:string,ocr:string>>"
+    kind = "url string, page string, markdown string, plain string, pages array<struct<own:string,plain:string,ocr:string>>"
     pages = [(good, None, None), ("é" * 200, good.upper(), None), ("", "", "read by eye"), (None, None, None)]
     rows = [("1", "p", good, None, None), ("2", "p", "é" * 400, "| a |\n|---|\n" + good, None), ("3", "p", "", None, pages), ("4", "p", None, None, [(None, None, None)]), ("5", "p", None, None, None)]
     got = {r["source_url"]: r for r in documents.pdf_documents(spark.createDataFrame(rows, kind), now()).collect()}
@@ -186,6 +186,22 @@ def test_pdf_and_image_documents(spark):
     assert both.count() == 4 and set(both.columns) <= set(S.DOCUMENT.fieldNames())
 
 
+def test_injected_engines(spark):
+    files = spark.createDataFrame([(1, b"text"), (2, b""), (3, None)], "id int, content binary")
+
+    def pdf():
+        return lambda c: {"markdown": c.decode(), "pages": [{"own": "o", "plain": None, "ocr": "x"}]} if c else 1 / 0
+
+    got = {r["id"]: r["p"] for r in files.select("id", extract.extract_pdf(pdf)(F.col("content")).alias("p")).collect()}
+    assert got[1]["markdown"] == "text" and got[1]["plain"] is None and got[1]["pages"][0]["own"] == "o" and got[2]["markdown"] is None and got[3]["pages"] is None
+
+    def ocr():
+        return lambda c: {"img_h": 1, "img_w": len(c), "boxes": [{"poly": [{"x": 0.0, "y": 1.0}], "text": "t", "conf": 0.5}]}
+
+    row = files.filter("id = 1").select(extract.read_picture(ocr)(F.col("content")).alias("o")).first()["o"]
+    assert (row["img_w"], row["boxes"][0]["text"], row["boxes"][0]["poly"][0]["y"]) == (4, "t", 1.0)
+
+
 def test_sitemaps(spark):
     robots = spark.createDataFrame([("https://e.com", "User-agent: *\nSITEMAP: https://e.com/s.xml\nsitemap:\n"), ("https://f.com", None)], "origin string, body string")
     assert ("https://e.com", "https://e.com/s.xml") in rows_of(sitemap.discover_sitemaps(robots)) and sitemap.discover_sitemaps(robots).count() == 7
