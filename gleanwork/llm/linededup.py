@@ -51,18 +51,22 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
 
 
+HASH = (1 << 56) - 1  # the part of a token that is its hash
+
+
 def _tokenised(lines: DataFrame, ranks: DataFrame, buckets: int) -> DataFrame:
-    """lines with raw (different token hashes) and toks (sorted, the rarest first: rank in the top byte, hash below)."""
-    raw = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
+    """lines with toks: the different tokens, the rarest first (rank of commonness in the top byte, hash below)."""
+    hashes = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
 
     def packed(h: Column) -> Column:
         b = F.pmod(h, F.lit(buckets))
         rank = F.get(F.get(F.col("ranks"), F.shiftright(b, 10).cast("int")), b.bitwiseAND(F.lit(1023)).cast("int"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = lines.filter(F.translate("text", SPACES, "") != "").withColumn("raw", raw)
-    # A lambda can't hold a subquery, but a column; as it is used once, the optimiser puts the subquery in its place.
-    return rows.withColumn("ranks", ranks.scalar()).withColumn("toks", F.sort_array(F.transform("raw", packed))).drop("ranks")
+    rows = lines.filter(F.translate("text", SPACES, "") != "")
+    # A lambda can't hold a subquery, but a column. All that toks is made of is used once, so the optimiser
+    # makes one projection of it, with the subquery in the lambda, and rows never carry the table.
+    return rows.withColumn("ranks", ranks.scalar()).withColumn("toks", F.sort_array(F.transform(hashes, packed))).drop("ranks", "text")
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, buckets: int = BUCKETS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -74,10 +78,10 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_overlap = lambda a, b: F.ceil((a + b) * num / F.lit(num + den))
     rows = _tokenised(_lines(docs, id_col, text_col), ranks, buckets)
     prefix = F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
+    rows = rows.withColumn("raw", F.transform("toks", lambda x: x.bitwiseAND(F.lit(HASH))))
     parity = F.aggregate("raw", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    occurrences = cut(
-        rows.select("id", "line", F.xxhash64("toks").alias("k"), F.hash("toks").alias("k2"), n.alias("n"), parity.alias("bits"), F.array_min("raw").alias("low"), F.array_max("raw").alias("high"), prefix.alias("prefix")), "lines"
-    )
+    ends = F.array_min("raw").alias("low"), F.array_max("raw").alias("high")
+    occurrences = cut(rows.select("id", "line", F.xxhash64("toks").alias("k"), F.hash("toks").alias("k2"), n.alias("n"), parity.alias("bits"), *ends, prefix.alias("prefix")), "lines")
     # The first line of each class; all its lines agree in the other columns.
     whole = F.struct("id", "line", "n", "bits", "low", "high", "prefix")
     classes = cut(occurrences.groupBy("k", "k2").agg(F.min(whole).alias("c")).select("k", "k2", "c.*"), "classes")
