@@ -25,7 +25,8 @@ from .common import cut
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a sequence
 SMALLEST = 32  # a rest of at most so many tokens is never cut
-CACHE = 200_000  # words whose ids a worker remembers
+CACHE = 500_000  # words in a generation of those whose ids a worker remembers: some 100 MB
+TOGETHER = 1 << 21  # characters of texts whose new words are learned at once
 END_ID = 1
 SEPARATOR = "<|startoftext|>"
 
@@ -45,6 +46,21 @@ def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+class _Ids(dict):
+    """The ids of words, in two generations: when the younger is full, it becomes the older, and words that are used return."""
+
+    old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.old[word]
+        return ids
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """The ids that a tokenizer of white-space-separated words gives, with the ids of words remembered.
 
@@ -58,40 +74,49 @@ class WordEncoder:
 
         self.one = Tokenizer.from_file(path)
         self.separator = self.one.token_to_id(SEPARATOR)
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Ids()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > CACHE:
-            self.ids.clear()
+    def _learn(self, words: set[str]) -> None:
+        self.ids.make_room(len(words))
         plain = [w for w in words if "<|" not in w and "|>" not in w]
-        for w in set(words).difference(plain):
+        for w in words.difference(plain):
             self.ids[w] = np.array(self.one.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.one.encode(SEPARATOR.join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.one.encode_batch_fast([SEPARATOR.join(some)], add_special_tokens=False)[0].ids, "<u4")
             edge = np.flatnonzero(ids == self.separator).tolist()
             for w, i, j in zip(some, [-1, *edge], [*edge, len(ids)], strict=True):
                 self.ids[w] = ids[i + 1 : j].tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.translate(_TO_SPACE).split(" ")
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. New words are learned for some texts at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            # All that is split on is white space to the tokenizer too.
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:end]]
+            if new := [w for w in set().union(*split) if w not in self.ids and w not in self.ids.old]:
+                self._learn(set(new))
+            for words in split:
+                yield self._join(words)
+            at = end
+
+    def _join(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
+        except KeyError:  # learning has made room by forgetting: then part by part, each small enough to stay known
             out = []
-            for at in range(0, len(words), CACHE // 2):
-                some = words[at : at + CACHE // 2]
-                self._learn([*{w for w in some if w not in self.ids}])
-                # Learning may have made room by forgetting words of this very text.
-                if lost := [*{w for w in some if w not in self.ids}]:
+            for at in range(0, len(words), CACHE // 4):
+                some = words[at : at + CACHE // 4]
+                while lost := {w for w in some if w not in self.ids and w not in self.ids.old}:
                     self._learn(lost)
                 out.append(b"".join(map(self.ids.__getitem__, some)))
             return b"".join(out)
 
 
-#: White space on which texts are split: all of it is white space to the tokenizer too.
-_TO_SPACE = {ord(c): " " for c in "\n\r\t"}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -106,8 +131,9 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
         enc = encoder(path)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts)):
+                ids += END_ID.to_bytes(4, "little")
                 start, total = 0, len(ids) // 4
                 for n in cuts(total, capacity):
                     piece = ids[4 * start : 4 * (start + n)]
