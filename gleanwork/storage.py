@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,9 @@ def drop_cut(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more, instead of at some later collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
