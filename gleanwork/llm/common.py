@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_cut, new_path
+from ..storage import cut, drop_cut, new_path, release
 
-__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "cut", "drop_cut", "free_names", "held_out", "new_path", "table"]
+__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "cut", "drop_cut", "free_names", "held_out", "new_path", "release", "table"]
 
 #: A-Z, and what they become: lower-casing that leaves all other characters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitset
-from .common import SPACE_CLASS, SPACES, cut
+from .common import SPACE_CLASS, SPACES, cut, drop_cut, release
 
 BUCKETS = 1 << 20  # of the rarity table: 4 MB
 FILTER_BITS = 1 << 26
@@ -77,7 +77,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.size("toks")
     least_overlap = lambda a, b: F.ceil((a + b) * num / F.lit(num + den))
     rows = _tokenised(_lines(docs, id_col, text_col), ranks, buckets)
-    prefix = F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
+    # In the prefix tokens are halved to 32 bits: what that confuses are a few more candidates.
+    prefix = F.transform(F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1), lambda x: F.hash(x))
     rows = rows.withColumn("raw", F.transform("toks", lambda x: x.bitwiseAND(F.lit(HASH))))
     parity = F.aggregate("raw", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     ends = F.array_min("raw").alias("low"), F.array_max("raw").alias("high")
@@ -86,6 +87,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = F.struct("id", "line", "n", "bits", "low", "high", "prefix")
     classes = cut(occurrences.groupBy("k", "k2").agg(F.min(whole).alias("c")).select("k", "k2", "c.*"), "classes")
 
+    release(docs.sparkSession)
+
     def fits(x: str, y: str) -> Column:
         """Length filter and parity signature."""
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
@@ -103,10 +106,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = _lines(docs, id_col, text_col).filter(bitset.has(chosen, at)).join(wanted, ["id", "line"])
         toks = cut(_tokenised(texts, ranks, buckets).select("id", "line", "toks").dropDuplicates(["id", "line"]), "tokens")
         sides = [toks.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("toks").alias(f"{s}_toks")) for s in "xy"]
+        release(docs.sparkSession)
         both = pairs.join(sides[0], ["x_id", "x_line"]).join(sides[1], ["y_id", "y_line"])
         shared = F.size(F.array_intersect("x_toks", "y_toks"))
         true = shared * (num + den) >= (F.size("x_toks") + F.size("y_toks")) * num
-        return cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
+        later = cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
+        for old in (pairs, wanted, chosen, toks):
+            drop_cut(old)
+        release(docs.sparkSession)
+        return later
 
     # First the earliest class with the same extreme token hash.
     ends = classes.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "bits")
@@ -115,21 +123,31 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = F.struct("y_id", "y_line") < F.struct("x_id", "x_line")
     settled = verified(first.filter(earlier & fits("x_", "y_")))
 
-    # Then all prefixes, for what is not settled.
-    def entries(some: DataFrame, side: str) -> DataFrame:
-        rows = some.select("id", "line", "n", "bits", F.posexplode("prefix").alias("at", "tok"))
-        return rows.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "line", "n", "bits", "at")])
-
-    probing = entries(classes.join(settled, ["id", "line"], "left_anti"), "x")
-    nx, ny, ax, ay = F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at")
+    # Then all prefixes: the longer line of a pair looks with its prefix for t, the shorter one is found by
+    # the shorter prefix for 2 t / (1 + t) of its tokens. The later of the two must not be settled yet.
+    flagged = classes.join(settled.withColumn("settled", F.lit(True)), ["id", "line"], "left")
+    flagged = cut(flagged.select("k", "k2", "id", "line", "n", "bits", "prefix", F.col("settled").isNull().alias("open")), "flagged")
+    for old in (classes, pivots):
+        drop_cut(old)
+    release(docs.sparkSession)
+
+    def entries(side: str, prefix: Column) -> DataFrame:
+        rows = flagged.select("id", "line", "n", "bits", "open", F.posexplode(prefix).alias("at", "tok"))
+        return rows.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "line", "n", "bits", "open", "at")])
+
+    longer = entries("l", F.col("prefix"))
+    shorter = entries("s", F.slice("prefix", 1, F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1))
+    nl, ns, al, as_ = F.col("l_n"), F.col("s_n"), F.col("l_at"), F.col("s_at")
     # at counts from 0: tokens before the match, and the match and what follows.
-    positional = F.least(ax, ay) + F.least(nx - ax, ny - ay) >= least_overlap(nx, ny)
-    # Of the two, the smaller line needs a shorter prefix only.
-    short = lambda m: m - F.ceil(m * (2 * num) / F.lit(num + den))
-    shorter = F.when(ny <= nx, ay <= short(ny)).otherwise(ax <= short(nx))
-    found = probing.join(entries(classes, "y"), "tok").filter(earlier & fits("x_", "y_") & positional & shorter)
+    positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
+    backwards = F.struct("s_id", "s_line") < F.struct("l_id", "l_line")
+    useful = F.when(backwards, F.col("l_open")).otherwise(F.col("s_open"))
+    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful)
+    found = found.filter((F.col("l_id") != F.col("s_id")) | (F.col("l_line") != F.col("s_line")))
+    later, before = (F.when(backwards, F.struct(*[F.col(f"{a}_{c}").alias(c) for c in ("id", "line")])).otherwise(F.struct(*[F.col(f"{b}_{c}").alias(c) for c in ("id", "line")])) for a, b in ("ls", "sl"))
+    found = found.select(later.alias("x"), before.alias("y")).select(F.col("x.id").alias("x_id"), F.col("x.line").alias("x_line"), F.col("y.id").alias("y_id"), F.col("y.line").alias("y_line"))
     later = settled.union(verified(found)).withColumn("later", F.lit(True))
-    firsts = classes.select("k", "k2", F.col("id").alias("f_id"), F.col("line").alias("f_line"))
+    firsts = flagged.select("k", "k2", F.col("id").alias("f_id"), F.col("line").alias("f_line"))
     firsts = firsts.join(later.select(F.col("id").alias("f_id"), F.col("line").alias("f_line"), "later"), ["f_id", "f_line"], "left")
     firsts = cut(firsts, "firsts")
     removed = F.col("later").isNotNull() | (F.col("id") != F.col("f_id")) | (F.col("line") != F.col("f_line"))
