@@ -11,6 +11,7 @@ answer with the passage is verified.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5  # of an item's own score; an item whose shingles occur to 80 % in a passage scores more
+THRESHOLD = 0.6  # of an item's own score; a passage that holds 80 % of an item's shingles scores more
 SHINGLE, OVERLAP = 5, 0.8
-BLOCK = 16
+BLOCK = 4
 MAX_CHARS = 64 << 20  # of all items together: the index is broadcast, some 10 bytes a character
 WORD = re.compile(r"\w+")
 
@@ -88,7 +89,8 @@ class Index:
         cursors = []  # [current item, position, its end, items, impacts, largest impact in the block]
         for t in terms:
             items, values = self.postings[t]
-            i, j = np.searchsorted(items, (low, high)).tolist()
+            i = bisect_left(items, low)
+            j = bisect_left(items, high, i)
             if i < j:
                 cursors.append([items[i], i, j, items, values, max(values[i:j])])
         out = []
