@@ -231,13 +231,16 @@ def test_cuts():
         assert sum(pieces) == n and all(0 < p <= packing.CAPACITY for p in pieces) and len(pieces) <= n // packing.CAPACITY + 6
 
 
-def test_word_encoder_equals_tokenizer():
+def test_word_encoder_equals_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     own, whole = packing.WordEncoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
     texts = ["It's A\ttest\u00a0x\u2028y\x1cz  it'll", "ΑΣ ΑΣΑ. \u0301e e\u0301", "a<|endoftext|>b <|startoftext|> <|x", "日本 12.5% ---\r\n😀😀", "", " ", "'s 'S s'", "ｆｕｌｌ İ ß"]
-    for t in [*texts, " ".join(texts)]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    texts += [" ".join(texts), *(t or "" for _, t in made_up(3))]
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for cache, together in ((1 << 20, 1 << 20), (8, 100), (50, 1 << 20)):
+        monkeypatch.setattr(packing, "CACHE", cache), monkeypatch.setattr(packing, "TOGETHER", together)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == expected
 
 
 # --- 5 --------------------------------------------------------------------------------------------
@@ -306,7 +309,7 @@ def test_quality_cases(spark, docs, rows):
     out = quality.classify(docs, labels)
     assert out.count() == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out.collect())
     one = quality.classify(docs, labels.filter("quality = 1"))
-    assert {round(r["score"], 3) for r in one.collect()} == {round((n := sum(k % 2 for k in range(len(rows)) if rows[k][0] is not None) + 0, (n + 1) / (n + 2))[1], 3)} or len({r["score"] for r in one.collect()}) == 1
+    assert len({r["score"] for r in one.collect()}) == 1 and one.first()["score"] > 0.9
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
 
