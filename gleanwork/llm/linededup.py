@@ -18,6 +18,7 @@ almost all, with a pair or two for each. Only the others take part in the join,
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .common import SPACE_CLASS, SPACES, cut, drop_cut, release
 BUCKETS = 1 << 20  # of the rarity table: 4 MB
 FILTER_BITS = 1 << 26
 SIMILARITY = 0.8
+SLICES = 4  # in which the prefix tokens are joined: so much less disk is in use at once
 
 
 def words_of(text: Column) -> Column:
@@ -142,11 +144,16 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
     backwards = F.struct("s_id", "s_line") < F.struct("l_id", "l_line")
     useful = F.when(backwards, F.col("l_open")).otherwise(F.col("s_open"))
-    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful)
-    found = found.filter((F.col("l_id") != F.col("s_id")) | (F.col("l_line") != F.col("s_line")))
     later, before = (F.when(backwards, F.struct(*[F.col(f"{a}_{c}").alias(c) for c in ("id", "line")])).otherwise(F.struct(*[F.col(f"{b}_{c}").alias(c) for c in ("id", "line")])) for a, b in ("ls", "sl"))
-    found = found.select(later.alias("x"), before.alias("y")).select(F.col("x.id").alias("x_id"), F.col("x.line").alias("x_line"), F.col("y.id").alias("y_id"), F.col("y.line").alias("y_line"))
-    later = settled.union(verified(found)).withColumn("later", F.lit(True))
+    parts = []
+    for i in range(SLICES):  # of the tokens: the shuffle files of one are released before the next
+        mine = F.pmod(F.col("tok"), F.lit(SLICES)) == i
+        found = longer.filter(mine).join(shorter.filter(mine), "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful)
+        found = found.filter((F.col("l_id") != F.col("s_id")) | (F.col("l_line") != F.col("s_line"))).select(later.alias("x"), before.alias("y"))
+        parts.append(cut(found.select(F.col("x.id").alias("x_id"), F.col("x.line").alias("x_line"), F.col("y.id").alias("y_id"), F.col("y.line").alias("y_line")), "candidates"))
+        del found
+        release(docs.sparkSession)
+    later = settled.union(verified(reduce(DataFrame.union, parts))).withColumn("later", F.lit(True))
     firsts = flagged.select("k", "k2", F.col("id").alias("f_id"), F.col("line").alias("f_line"))
     firsts = firsts.join(later.select(F.col("id").alias("f_id"), F.col("line").alias("f_line"), "later"), ["f_id", "f_line"], "left")
     firsts = cut(firsts, "firsts")
