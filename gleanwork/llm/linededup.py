@@ -29,7 +29,7 @@ from .common import SPACE_CLASS, SPACES, cut, drop_cut, release
 BUCKETS = 1 << 20  # of the rarity table: 4 MB
 FILTER_BITS = 1 << 26
 SIMILARITY = 0.8
-SLICES = 4  # in which the prefix tokens are joined: so much less disk is in use at once
+SLICES = 4  # in which prefix tokens are joined and pairs verified: so much less disk is in use at once
 
 
 def words_of(text: Column) -> Column:
@@ -109,10 +109,16 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         toks = cut(_tokenised(texts, ranks, buckets).select("id", "line", "toks").dropDuplicates(["id", "line"]), "tokens")
         sides = [toks.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("toks").alias(f"{s}_toks")) for s in "xy"]
         release(docs.sparkSession)
-        both = pairs.join(sides[0], ["x_id", "x_line"]).join(sides[1], ["y_id", "y_line"])
-        shared = F.size(F.array_intersect("x_toks", "y_toks"))
-        true = shared * (num + den) >= (F.size("x_toks") + F.size("y_toks")) * num
-        later = cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
+        parts = []
+        for i in range(SLICES):
+            mine = pairs.filter(F.pmod(F.xxhash64("x_id", "x_line"), F.lit(SLICES)) == i)
+            both = mine.join(sides[0], ["x_id", "x_line"]).join(sides[1], ["y_id", "y_line"])
+            shared = F.size(F.array_intersect("x_toks", "y_toks"))
+            true = shared * (num + den) >= (F.size("x_toks") + F.size("y_toks")) * num
+            parts.append(cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later"))
+            del both
+            release(docs.sparkSession)
+        later = reduce(DataFrame.union, parts)
         for old in (pairs, wanted, chosen, toks):
             drop_cut(old)
         release(docs.sparkSession)
