@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitset
-from .common import SPACE_CLASS, SPACES, cut, drop_cut, release
+from .common import SPACE_CLASS, SPACES, cut, drop_cut, free_names, release
 
 BUCKETS = 1 << 20  # of the rarity table: 4 MB
 FILTER_BITS = 1 << 26
@@ -188,20 +188,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
     chosen = bitset.build(gone, at(F.col("id")), filter_bits)
     kept = [c for c in docs.columns if c not in names]
-    base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key, text, lost, split, edges, left = free_names(docs, "key_", "text_", "gone_", "lines_", "edges_", "left_")
+    base = docs.select(*kept, F.col(id_col).alias(key), F.col(text_col).alias(text))
     # Only documents that may lose a line take part in the join.
-    maybe = F.coalesce(bitset.has(chosen, at(F.col("id"))), F.lit(False))
-    hit = base.filter(maybe).join(gone, "id", "left").select("row", "text", "gone")
-    rest = base.filter(~maybe).select("row", "text", F.lit(None).cast("array<int>").alias("gone"))
-    rows = hit.union(rest).withColumn("lines", F.split("text", "\n"))
+    maybe = F.coalesce(bitset.has(chosen, at(F.col(key))), F.lit(False))
+    gone = gone.select(F.col("id").alias(key), F.col("gone").alias(lost))
+    hit = base.filter(maybe).join(gone, key, "left").select(*kept, text, lost)
+    rows = hit.union(base.filter(~maybe).select(*kept, text, F.lit(None).cast("array<int>").alias(lost)))
+
+    def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """df with a column that is computed once: the optimiser doesn't move it from a generator to where it is used, again and again."""
+        return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+    rows = settle(rows, split, F.split(text, "\n"))
     # What stays lies between removed lines: two neighbours in `edges` bound a slice each.
-    size = F.size("lines")
-    rows = rows.withColumn("edges", F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.concat(F.array(F.lit(-1)), F.filter("gone", lambda i: i < F.size("lines")), F.array(size))))
-    edge = lambda i: F.get(F.col("edges"), i)
-    between = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.slice(F.col("lines"), edge(i - 1) + 2, edge(i) - edge(i - 1) - 1))
-    loses = F.col("edges").isNotNull()
-    text = F.when(loses, F.array_join(F.flatten(between), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNotNull(), size).otherwise(F.lit(0)).cast("long")
-    n_removed = F.when(loses, F.size("edges") - 2).otherwise(F.lit(0)).cast("long")
-    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
+    size = F.size(split)
+    bounds = F.concat(F.array(F.lit(-1)), F.filter(lost, lambda i: i < F.size(split)), F.array(size))
+    rows = settle(rows, edges, F.when(F.col(lost).isNotNull() & F.col(text).isNotNull(), bounds))
+    edge = lambda i: F.get(F.col(edges), i)
+    between = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(F.col(split), edge(i - 1) + 2, edge(i) - edge(i - 1) - 1))
+    loses = F.col(edges).isNotNull()
+    rows = settle(rows, left, F.when(loses, F.array_join(F.flatten(between), "\n")).otherwise(F.col(text)))
+    n_lines = F.when(F.col(text).isNotNull(), size).otherwise(F.lit(0)).cast("long")
+    n_removed = F.when(loses, F.size(edges) - 2).otherwise(F.lit(0)).cast("long")
+    columns = [F.col(left).alias(c) if c == text_col else F.col(c) for c in kept]
     return rows.select(*columns, n_lines.alias(names[0]), n_removed.alias(names[1]))
