@@ -10,6 +10,7 @@ again by first fit.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ CACHE = 500_000  # words in a generation of those whose ids a worker remembers:
 TOGETHER = 1 << 21  # characters of texts whose new words are learned at once
 END_ID = 1
 SEPARATOR = "<|startoftext|>"
+#: Words whose letters and marks the pre-tokeniser always parts, with letters that are their own normal form but for case.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|]*)")
 
 
 def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -77,12 +80,24 @@ class WordEncoder:
         self.ids = _Ids()
 
     def _learn(self, words: set[str]) -> None:
-        self.ids.make_room(len(words))
+        self.ids.make_room(2 * len(words))
+        alone, joined = set(), []
+        for w in words:
+            if (m := LETTERS.fullmatch(w)) and (m[2] or not m[1].islower()):
+                joined.append((w, m[1].lower(), m[2]))
+            else:
+                alone.add(w)
+        parts = {x for _, *both in joined for x in both if x not in self.ids and x not in self.ids.old}
+        self._encode(alone | parts)
+        for w, letters, marks in joined:
+            self.ids[w] = self.ids[letters] + self.ids[marks]
+
+    def _encode(self, words: set[str]) -> None:
         plain = [w for w in words if "<|" not in w and "|>" not in w]
         for w in words.difference(plain):
             self.ids[w] = np.array(self.one.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
+        for at in range(0, len(plain), 64):
+            some = plain[at : at + 64]
             ids = np.array(self.one.encode_batch_fast([SEPARATOR.join(some)], add_special_tokens=False)[0].ids, "<u4")
             edge = np.flatnonzero(ids == self.separator).tolist()
             for w, i, j in zip(some, [-1, *edge], [*edge, len(ids)], strict=True):
