@@ -15,6 +15,8 @@ from gleanwork.llm.queries import tokenizer_path
 
 #: A text's regression value for its language, from -1 to 1 mapped to 0 to 1, that rejects it.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Jaccard similarity of five-word shingles from which documents are near duplicates.
+NEAR_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id. Fingerprints are of five-word shingles; rows with a null id stay."""
-    found = simhash.simhash_dedup(docs, shingle=5)
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Links are a Jaccard similarity of five-word shingles of at least NEAR_SIMILARITY, or fingerprints of them within three bits. Rows with a null id stay.
+    """
+    found = simhash.simhash_dedup(docs, shingle=5, similarity=NEAR_SIMILARITY)
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     at = F.pmod(F.xxhash64("doc_id"), F.lit(linededup.FILTER_BITS))
     chosen = bitset.build(gone, at, linededup.FILTER_BITS)

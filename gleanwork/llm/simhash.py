@@ -26,24 +26,29 @@ CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1) for k in range(5
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one text, as an unsigned integer: see fingerprints()."""
+def digests(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The XXH64 of each shingle of one text, repeats included: see fingerprints()."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([digest(joined, 42)], "<u8")
     size = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(size + 1) - 1
     start = (end - size)[: n - shingle + 1].tolist()
     stop = end[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, np.int64), len(start)
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(start, stop)), "<u8", len(start))
+
+
+def fingerprint(text: str | None, shingle: int = 3, hashes: np.ndarray | None = None) -> int:
+    """The fingerprint of one text, as an unsigned integer: see fingerprints(). hashes: its digests(), where they are there."""
+    h = digests(text, shingle) if hashes is None else hashes
+    ones, total = np.zeros(64, np.int64), len(h)
     for at in range(0, total, CHUNK):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(start[at : at + CHUNK], stop[at : at + CHUNK])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
@@ -83,11 +88,13 @@ def links(prints: DataFrame, col: str = "fingerprint") -> DataFrame:
     return at_home.join(around, ["side", "anchor"]).filter(close).select("a", "b")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (long), component_id.
 
     component_id is the smallest id among the documents that can be reached over links of at most
-    three differing bits, the document itself included.
+    three differing bits, the document itself included. With a similarity (above 0, at most 1), texts
+    whose sets of shingles have at least this Jaccard similarity are linked as well, whatever their
+    fingerprints.
 
     Only different fingerprints are compared, so groups of copies cost one row. The links and
     components stay distributed; tables that cut the lineage lie in the shared folder.
@@ -97,9 +104,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if there is none). Repeated rows give repeated results. An empty table gives no rows; other
     columns of docs are ignored.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("f")), "prints")
+    if similarity is None:
+        rows = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("f"))
+    else:
+        from . import similar
+
+        rows = similar.prefixes(docs, id_col, text_col, shingle, similarity)
+    rows = cut(rows, "prints")
     classes = cut(rows.groupBy("f").agg(F.min("id").alias("rep")), "classes")
     found = cut(links(classes, "f"), "pairs")
+    if similarity is not None:
+        found = similar.similar_links(docs, rows, found, text_col, shingle, similarity)
     roots = cut(components(found), "roots")
     of = roots.join(classes, roots["node"] == classes["f"]).select("f", "root", "rep")
     least = cut(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import decontam, queries
+from gleanwork.llm import decontam, queries, similar
 from gleanwork.llm.common import cut
 from test_operators_llm import frame, made_up, print_of, removed_lines
 
@@ -89,3 +91,35 @@ def test_stages_on_empty_tables(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_near_dedup_reaches_its_similarity(spark, sf_dir, monkeypatch):
+    """Texts of Jaccard 0.8 and more go whatever their fingerprints, by brute force over all pairs; with and without frequent shingles."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(3000)}"
+    passage, rows = [word() for _ in range(60)], []
+    for g in range(12):
+        base = [word() for _ in range(r.randrange(20, 200))] + (passage if g % 2 else [])
+        rows.append(base)
+        for k in range(8):
+            copy, at = list(base), r.randrange(len(base))
+            copy[at : at + 1 + k * len(base) // 80] = [word()]
+            rows.append(copy)
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            close = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            bits = (print_of(rows[a][1], 5) ^ print_of(rows[b][1], 5)).bit_count()
+            far += close and bits > 3
+            if (close or bits <= 3) and label[a] != label[b]:
+                new, old = sorted((label[a], label[b]))
+                label = [new if x == old else x for x in label]
+    assert far > 20
+    expected = sorted(set(label))
+    for least in (similar.FREQUENT, 2):
+        monkeypatch.setattr(similar, "FREQUENT", least)
+        kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir)
+        assert sorted(x["doc_id"] for x in kept.collect()) == expected
