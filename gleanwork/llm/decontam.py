@@ -46,13 +46,14 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
 class Index:
     """BM25 impacts of items, as shares of their own score.
 
-    items: (id, question, answer), ids ascending.
+    items: (id, question, answer), ids ascending; split: whether question and answer are one text's, see hits().
     """
 
-    def __init__(self, items: list[tuple[int, str, str]], block: int = BLOCK) -> None:
+    def __init__(self, items: list[tuple[int, str, str]], block: int = BLOCK, split: bool = False) -> None:
         items = [x for x in items if words_of(x[1]) or words_of(x[2])]
         self.ids = [x[0] for x in items]
         self.parts = [[shingles(words_of(q)), shingles(words_of(a))] for _, q, a in items]
+        self.whole = [shingles(words_of(q) + words_of(a)) if split else None for _, q, a in items]
         bags = [Counter(words_of(q) + words_of(a)) for _, q, a in items]
         self.longest = max((sum(b.values()) for b in bags), default=1)
         mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
@@ -128,7 +129,9 @@ class Index:
         """Items (by id) that the text holds, with the best score of its passages.
 
         Passages are windows of twice the longest item's words, each half overlapping the next, so
-        that any span as long as an item lies within one.
+        that any span as long as an item lies within one. Both parts of an item must be covered; of
+        items split from one text, the longer part and the whole text suffice, so that a missing or
+        changed word in a short last sentence doesn't hide a copy.
         """
         if not self.ids:
             return {}
@@ -153,10 +156,17 @@ class Index:
             own = words[p * step : (p + 2) * step]
             cache: dict[int, set] = {}
             for k, score in found:
-                if all(self._overlap(part, own, cache) >= overlap for part in self.parts[k] if part):
+                if self._held(k, own, cache, overlap):
                     out[self.ids[k]] = max(score, out.get(self.ids[k], 0.0))
         return out
 
+    def _held(self, k: int, words: list[str], cache: dict[int, set], overlap: float) -> bool:
+        found = [self._overlap(part, words, cache) >= overlap for part in self.parts[k] if part]
+        if all(found) or self.whole[k] is None:
+            return all(found)
+        longer = max(self.parts[k], key=len)
+        return all(self._overlap(part, words, cache) >= overlap for part in (longer, self.whole[k]))
+
     @staticmethod
     def _overlap(part: set[tuple[str, ...]], words: list[str], cache: dict[int, set]) -> float:
         n = len(next(iter(part)))
@@ -177,7 +187,7 @@ def index_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     size = rows.agg(F.sum(F.length("q") + F.length("a") + 16)).first()[0] or 0
     if size > MAX_CHARS:
         raise ValueError(f"the test items have {size} characters; at most {MAX_CHARS} are broadcast at once: call once per part")
-    return Index(sorted((r["i"], *(parts(r["q"]) if answer_col is None else (r["q"], r["a"]))) for r in rows.collect()))
+    return Index(sorted((r["i"], *(parts(r["q"]) if answer_col is None else (r["q"], r["a"]))) for r in rows.collect()), split=answer_col is None)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, names: tuple[str, str, str] = ("contaminated", "items", "best_score"), **item_columns: str) -> DataFrame:
@@ -185,7 +195,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
 
     A document is contaminated by an item if one of its passages reaches the item's threshold and
     holds at least `overlap` of the item's different five-word shingles, in its question and in its
-    answer each (a part with fewer words is one shingle). Words are runs of letters, digits and
+    answer each (a part with fewer words is one shingle); without an answer column, in the whole text
+    and the longer of both parts is enough. Words are runs of letters, digits and
     underscores, in lower case. There is no shuffle.
 
     Nulls: a null or empty text holds nothing, nor does any text if there are no items. Repeated rows

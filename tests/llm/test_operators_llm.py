@@ -504,6 +504,17 @@ def test_decontamination(spark):
     assert got(decontam.decontaminate(two, answers, answer_col="answer"), "doc_id", "contaminated") == [(1, True), (2, False)]
 
 
+def test_cut_copies_are_found(spark):
+    """A copy without the last word, with another one, or without a short last sentence is one; a copy of less than 80 % isn't."""
+    head = " ".join(f"q{k}" for k in range(40))
+    table = spark.createDataFrame([(0, f"{head}. Yes."), (1, f"What is it? {head.replace('q', 'r')}.")], "item_id long, text string")
+    texts = [f"x {head} y", f"{head}. No.", f"{head}. Yes", " ".join(head.split()[:33]), head.replace("q", "r"), "What is it? Yes."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(decontam.decontaminate(docs, table), "doc_id", "items") == [(0, [0]), (1, [0]), (2, [0]), (3, []), (4, [1]), (5, [])]
+    split = table.select("item_id", F.lit(head).alias("text"), F.lit("Yes").alias("answer")).filter("item_id = 0")
+    assert got(decontam.decontaminate(docs, split, answer_col="answer"), "doc_id", "items") == [(0, []), (1, []), (2, [0]), (3, []), (4, []), (5, [])]
+
+
 def test_benchmark_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MAX_CHARS", 10)
     with pytest.raises(ValueError):
