@@ -15,6 +15,8 @@ from gleanwork.llm.queries import tokenizer_path
 
 #: A text's regression value for its language, from -1 to 1 mapped to 0 to 1, that rejects it.
 LEAST_LANGUAGE_SCORE = 0.4
+#: The share of a text's 3-grams of letters that learned texts have, below which it is like none of them.
+LEAST_KNOWN = 0.6
 #: Jaccard similarity of five-word shingles from which documents are near duplicates.
 NEAR_SIMILARITY = 0.8
 
@@ -24,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the documents that have a language; if none has, only texts without letters go.
     """
-    lang, score = free_names(docs, "lang_pred", "score")
-    found = langid.identify(docs, model := langid.train(docs), names=(lang, score))
-    keep = (F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lang, score, known = free_names(docs, "lang_pred", "score", "known")
+    found = langid.identify(docs, model := langid.train(docs), names=(lang, score), known=known)
+    keep = (F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(known) >= LEAST_KNOWN) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.filter(keep).select(docs.columns)
 
 

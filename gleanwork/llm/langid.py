@@ -10,6 +10,7 @@ occur in landmarks, so batches are scored as P(X) (P(Z)^T A) over the lengths of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,18 @@ LANDMARKS = 60  # of these, landmarks at most
 LONGEST_FIT = 20_000  # texts with more code points are not learned from (they are predicted like all others)
 RIDGE = 0.1
 UNDETERMINED = "und"
+#: What isn't words of letters: runs with digits in them, and white space and marks.
+OTHER = re.compile(r"[^\W\d_]*\d\w*|[\W\d_]+")
+
+
+def points(text: str) -> np.ndarray:
+    """The text's code points, plus 1: white space as one blank, lower case."""
+    return np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1
 
 
 def codes(text: str) -> np.ndarray:
-    """The text's different n-grams, as sorted numbers: code points of 21 bits each, white space as one blank, lower case."""
-    c = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1
+    """The text's different n-grams, as sorted numbers: code points of 21 bits each."""
+    c = points(text)
     two = c[:-1] << 21 | c[1:]
     return np.unique(np.concatenate([c, two, two[:-1] << 21 | c[2:]]))
 
@@ -52,6 +60,17 @@ class Model:
             out[i] = self.weights[at].sum(axis=0) / np.sqrt(len(own))
         return out
 
+    def known(self, text: str | None) -> float:
+        """The share of the text's 3-grams, repeats included, that landmarks have; of its words of letters only, if it has any."""
+        if not text or not len(self.grams):
+            return 0.0
+        words = OTHER.sub(" ", text)
+        c = points(words if words.strip() else text)
+        own = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+        at = np.searchsorted(self.grams, own)
+        at[at == len(self.grams)] = 0
+        return float((self.grams[at] == own).mean()) if len(own) else 0.0
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The languages, and scores from 0 to 1: the regression's value for the language, against -1 and 1."""
         fit = [t for t in texts if t and any(map(str.isalpha, t))]
@@ -117,19 +136,24 @@ def train(docs: DataFrame, learns: Column | None = None, id_col: str = "doc_id",
     return fit([r["t"] for r in pairs], [r["lang"] for r in pairs])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), known: str | None = None) -> DataFrame:
     """docs with two more columns, by default lang_pred and score (columns of docs with these names are replaced).
 
+    known: a third column's name, for the share of the text's 3-grams that landmarks have, see Model.known():
+    a text unlike all learned languages has a score of about 0.5, but a small share.
+
     Nulls: a null text, or one without letters, is `und` with score 0; so is every text if nothing
     was learned. Only the text is looked at, and whole. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    new = [*names, *([known] if known else [])]
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, scores = held.value.predict(batch.tolist())
-            yield pd.DataFrame({"lang_pred": found, "score": scores})
+            texts = batch.tolist()
+            found, scores = held.value.predict(texts)
+            yield pd.DataFrame({"lang_pred": found, "score": scores, "known": [held.value.known(t) if known else 0.0 for t in texts]})
 
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("row"), run(F.col(text_col)).alias("found"))
-    return rows.select("row.*", F.col("found.lang_pred").alias(names[0]), F.col("found.score").alias(names[1]))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), run(F.col(text_col)).alias("found"))
+    return rows.select("row.*", *[F.col(f"found.{c}").alias(name) for c, name in zip(("lang_pred", "score", "known"), new)])

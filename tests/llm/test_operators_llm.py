@@ -191,6 +191,15 @@ def test_language_accuracy(spark, small):
     assert n > 300 and right / n >= 0.99
 
 
+def test_share_of_known_letters():
+    """Texts in a script or with words unlike the learned ones share few n-grams, whatever the regression says; digits and marks don't count."""
+    model = langid.fit(["the cat sat on the mat and the dog ran", "le chat est sur la table et le chien court"] * 2, ["en", "fr"] * 2)
+    foreign = ["Сегодня утром в городе было тихо", "今天早上城市很安静", "Σήμερα το πρωί", "zqx kvj wpq", "Цена 1000 руб. 3.14 (2019)"]
+    assert max(map(model.known, foreign)) < 0.1
+    assert min(map(model.known, ["The cat ran!", "le chien 4501042323994846 court", "the dog " * 5000, "dog = 40d78a45c418324758e099"])) >= 0.8
+    assert langid.fit([], []).known("text") == 0
+
+
 # --- 4 --------------------------------------------------------------------------------------------
 
 

@@ -123,3 +123,15 @@ def test_near_dedup_reaches_its_similarity(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(similar, "FREQUENT", least)
         kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir)
         assert sorted(x["doc_id"] for x in kept.collect()) == expected
+
+
+def test_language_stage_rejects_foreign_texts(spark, sf_dir):
+    """Texts of unlearned scripts and of noise go, though their score is about 0.5; all of the generated documents that have letters stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Сегодня утром в городе было тихо, и люди шли на работу.", "今天早上城市很安静，人们慢慢地走。", "Σήμερα το πρωί η πόλη ήταν ήσυχη.", "zqx kvj wpq", "Dzisiaj rano w mieście było cicho, a ludzie powoli szli do pracy."]
+    rows = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(foreign)], "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(rows.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = {r[0] for r in corpus_pipeline.language(spark, both, sf_dir).select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    lettered = {r[0] for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert lettered <= kept
