@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_cut, new_path, release
+from ..storage import cut, drop_cut, new_path
 
-__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "cut", "drop_cut", "free_names", "held_out", "new_path", "release", "table"]
+__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "col", "cut", "drop_cut", "free_names", "held_out", "new_path", "others", "table"]
 
 #: A-Z, and what they become: lower-casing that leaves all other characters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of this name, whatever characters are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df whose names aren't among these, in any letter case."""
+    taken = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where df has such columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -3,168 +3,188 @@
 A line's tokens are its different words. All lines order tokens by one global rule, the rarest
 first, so that lines with a Jaccard similarity of at least t share a token in their first
 n - ceil(t n) + 1 (prefix filter). Pairs are then pruned by size (length filter), by how many tokens
-can still be shared behind the matching positions (positional filter), and by a 64-bit parity
-signature, which bounds the symmetric difference; what is left is verified on the tokens themselves.
+can still be shared behind the matching positions (positional filter), and by a 128-bit parity
+signature, which bounds the symmetric difference; what is left is verified on the words themselves.
 
 Rarity is looked up in a table of fixed size: the logarithm of the number of words of all documents
 that fall into the token's bucket. Any order gives right results; a coarse one costs some candidates.
 
 A line goes if any earlier line is similar to it. So it is enough to find one. Lines with the same
-tokens are one class, whose first line stands for it. Each class is first held against the earliest
-class with the same smallest, or largest, token hash: in large groups of near copies that settles
-almost all, with a pair or two for each. Only the others take part in the join, as its probing side.
+tokens are one class, whose first line stands for it; the others go. Each class is first held against
+the earliest class with the same smallest, or largest, token hash: in large groups of near copies that
+settles almost all, with a pair or two for each. Only the others take part in the join as the later
+line of a pair, and of their candidates the one with the nearest signature is verified first: lines
+that it settles need no other.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitset
-from .common import SPACE_CLASS, SPACES, cut, drop_cut, free_names, release
+from .common import SPACES, col, cut, drop_cut, free_names, others
 
-BUCKETS = 1 << 20  # of the rarity table: 4 MB
+BUCKETS = 1 << 18  # of the rarity table: 2 MB
 FILTER_BITS = 1 << 26
 SIMILARITY = 0.8
-SLICES = 4  # in which prefix tokens are joined and pairs verified: so much less disk is in use at once
+HASH_BITS = 56  # of a token; its rank of commonness stands above them
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), f"[{SPACE_CLASS}]+"), "")
+def plain(text: Column) -> Column:
+    """The text in lower case, with a blank for all white space but line feeds."""
+    text = F.lower(text)
+    for c in SPACES.replace(" ", "").replace("\n", ""):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def rarity(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row, one column: array<array<int>>, 1024 buckets in each inner array: the rank of commonness of the bucket's words."""
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("bucket"))
-    counts = words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    blank = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    """One row, one column, ranks: array<long> with the rank of commonness of each bucket's words, in a token's top byte.
+
+    buckets: a power of two, at least 1024.
+    """
+    words = docs.select(F.explode(F.split(F.replace(plain(col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.select(_bucket(F.xxhash64("w"), buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    blank = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.union(blank).groupBy("bucket").agg(F.sum("n").alias("n"))
-    rank = F.least(F.floor(F.log2(F.col("n") + 1.0) * 3), F.lit(120)).cast("int").alias("rank")
-    rows = full.select(F.shiftright("bucket", 10).alias("hi"), F.struct(F.col("bucket").bitwiseAND(F.lit(1023)).alias("low"), rank).alias("x"))
+    rank = F.shiftleft(F.least(F.floor(F.log2(F.col("n") + 1.0) * 3), F.lit(120)).cast("long"), HASH_BITS).alias("rank")
+    rows = full.select(F.shiftright("bucket", 10).alias("hi"), F.struct("bucket", rank).alias("x"))
     inner = rows.groupBy("hi").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["rank"]).alias("ranks"))
-    return cut(inner.agg(F.transform(F.sort_array(F.collect_list(F.struct("hi", "ranks"))), lambda x: x["ranks"]).alias("ranks")), "rarity")
+    return cut(inner.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", "ranks"))), lambda x: x["ranks"])).alias("ranks")), "rarity")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.filter(F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
+def _bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-HASH = (1 << 56) - 1  # the part of a token that is its hash
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, text) of lines that aren't blank, the text being plain()."""
+    rows = docs.filter(col(id_col).isNotNull())
+    return rows.select(col(id_col).alias("id"), F.posexplode(F.split(plain(col(text_col)), "\n")).alias("line", "text")).filter(F.ltrim("text") != "")
 
 
 def _tokenised(lines: DataFrame, ranks: DataFrame, buckets: int) -> DataFrame:
     """lines with toks: the different tokens, the rarest first (rank of commonness in the top byte, hash below)."""
-    hashes = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
     def packed(h: Column) -> Column:
-        b = F.pmod(h, F.lit(buckets))
-        rank = F.get(F.get(F.col("ranks"), F.shiftright(b, 10).cast("int")), b.bitwiseAND(F.lit(1023)).cast("int"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(F.get(F.col("ranks"), _bucket(h, buckets)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    rows = lines.filter(F.translate("text", SPACES, "") != "")
     # A lambda can't hold a subquery, but a column. All that toks is made of is used once, so the optimiser
     # makes one projection of it, with the subquery in the lambda, and rows never carry the table.
-    return rows.withColumn("ranks", ranks.scalar()).withColumn("toks", F.sort_array(F.transform(hashes, packed))).drop("ranks", "text")
+    return lines.withColumn("ranks", ranks.scalar()).withColumn("toks", F.sort_array(F.transform(hashes, packed))).drop("ranks", "text")
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, buckets: int = BUCKETS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(id, line, removed) for every line with a token: see dedup_lines()."""
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, buckets: int = BUCKETS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(id, line) of every line that goes, perhaps more than once: see dedup_lines(). A written table."""
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
-    ranks = rarity(docs, text_col, buckets)
     n = F.size("toks")
     least_overlap = lambda a, b: F.ceil((a + b) * num / F.lit(num + den))
+    key = F.struct("id", "line")
+
+    ranks = rarity(docs, text_col, buckets)
     rows = _tokenised(_lines(docs, id_col, text_col), ranks, buckets)
+    bit = lambda x, first: F.call_function("shiftleft", first, x.bitwiseAND(F.lit(63)).cast("int"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    parity = lambda first: F.aggregate("toks", none, lambda a, x: a.bitwiseXOR(bit(x, first(x))))
+    # Tokens with an odd seventh bit have their parities in `odd`, those of all tokens are in `both`.
+    signature = parity(lambda x: one).alias("both"), parity(lambda x: F.shiftright(x, 6).bitwiseAND(one)).alias("odd")
     # In the prefix tokens are halved to 32 bits: what that confuses are a few more candidates.
     prefix = F.transform(F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1), lambda x: F.hash(x))
-    rows = rows.withColumn("raw", F.transform("toks", lambda x: x.bitwiseAND(F.lit(HASH))))
-    parity = F.aggregate("raw", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    ends = F.array_min("raw").alias("low"), F.array_max("raw").alias("high")
-    occurrences = cut(rows.select("id", "line", F.xxhash64("toks").alias("k"), F.hash("toks").alias("k2"), n.alias("n"), parity.alias("bits"), *ends, prefix.alias("prefix")), "lines")
-    # The first line of each class; all its lines agree in the other columns.
-    whole = F.struct("id", "line", "n", "bits", "low", "high", "prefix")
-    classes = cut(occurrences.groupBy("k", "k2").agg(F.min(whole).alias("c")).select("k", "k2", "c.*"), "classes")
-
-    release(docs.sparkSession)
+    raw = F.transform("toks", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    ends = F.array_min(raw).alias("low"), F.array_max(raw).alias("high")
+    occurrences = cut(rows.select("id", "line", F.xxhash64("toks").alias("k"), F.hash("toks").alias("k2"), n.alias("n"), *signature, *ends, prefix.alias("prefix")), "lines").filter("n > 0")
+
+    # Classes: of lines with the same tokens only the first goes on. The bitset tells lines that are alone without a join.
+    copies = cut(occurrences.groupBy("k", "k2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2", "first"), "copies")
+    at_class = F.pmod(F.xxhash64("k", "k2"), F.lit(filter_bits))
+    many = bitset.build(copies, at_class, filter_bits)
+    shared = occurrences.filter(bitset.has(many, at_class)).join(copies, ["k", "k2"], "left")
+    shared = cut(shared.withColumn("is_first", F.coalesce(F.col("first") == key, F.lit(True))).drop("first"), "shared")
+    payload = ["id", "line", "n", "both", "odd", "low", "high", "prefix"]
+    # Repeated rows of a first line are one.
+    classes = cut(occurrences.filter(~bitset.has(many, at_class)).select(payload).union(shared.filter("is_first").dropDuplicates(["k", "k2"]).select(payload)), "classes")
+    gone = [cut(shared.filter("NOT is_first").select("id", "line"), "gone")]
+    for old in (occurrences, copies, many, shared):
+        drop_cut(old)
 
     def fits(x: str, y: str) -> Column:
         """Length filter and parity signature."""
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         size = (nx * num <= ny * den) & (ny * num <= nx * den)
-        return size & (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= nx + ny - 2 * least_overlap(nx, ny))
-
-    pair = ["x_id", "x_line", "y_id", "y_line"]
+        both, odd = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("both", "odd"))
+        return size & (F.bit_count(odd) + F.bit_count(both.bitwiseXOR(odd)) <= nx + ny - 2 * least_overlap(nx, ny))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(id, line) of the pairs' later lines that really are similar."""
-        pairs = cut(pairs.select(pair).distinct(), "pairs")
+        """(id, line) of the later lines of those pairs that really are similar, by their words."""
         wanted = cut(pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).union(pairs.select("y_id", "y_line")).distinct(), "wanted")
-        at = F.pmod(F.xxhash64("id", "line"), F.lit(filter_bits))
-        chosen = bitset.build(wanted, at, filter_bits)
-        texts = _lines(docs, id_col, text_col).filter(bitset.has(chosen, at)).join(wanted, ["id", "line"])
-        toks = cut(_tokenised(texts, ranks, buckets).select("id", "line", "toks").dropDuplicates(["id", "line"]), "tokens")
-        sides = [toks.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("toks").alias(f"{s}_toks")) for s in "xy"]
-        release(docs.sparkSession)
-        parts = []
-        for i in range(SLICES):
-            mine = pairs.filter(F.pmod(F.xxhash64("x_id", "x_line"), F.lit(SLICES)) == i)
-            both = mine.join(sides[0], ["x_id", "x_line"]).join(sides[1], ["y_id", "y_line"])
-            shared = F.size(F.array_intersect("x_toks", "y_toks"))
-            true = shared * (num + den) >= (F.size("x_toks") + F.size("y_toks")) * num
-            parts.append(cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later"))
-            del both
-            release(docs.sparkSession)
-        later = reduce(DataFrame.union, parts)
-        for old in (pairs, wanted, chosen, toks):
+        at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
+        chosen = bitset.build(wanted, at(F.col("id")), filter_bits)
+        texts = _lines(docs.filter(bitset.has(chosen, at(col(id_col)))), id_col, text_col).join(wanted, ["id", "line"], "left_semi")
+        words = cut(texts.select("id", "line", F.array_remove(F.array_distinct(F.split("text", " ")), "").alias("words")), "words")
+        x, y = (words.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")) for s in "xy")
+        both = pairs.join(x, ["x_id", "x_line"]).join(y, ["y_id", "y_line"])
+        common = F.size(F.array_intersect("x_words", "y_words"))
+        true = common * (num + den) >= (F.size("x_words") + F.size("y_words")) * num
+        later = cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
+        for old in (wanted, chosen, words):
             drop_cut(old)
-        release(docs.sparkSession)
         return later
 
     # First the earliest class with the same extreme token hash.
-    ends = classes.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "bits")
-    pivots = cut(ends.groupBy("end").agg(F.min(F.struct("id", "line", "n", "bits")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("end", *[F.col(f"p.{c}").alias(f"y_{c}") for c in ("id", "line", "n", "bits")]), "pivots")
-    first = ends.select("end", *[F.col(c).alias(f"x_{c}") for c in ("id", "line", "n", "bits")]).join(pivots, "end")
-    earlier = F.struct("y_id", "y_line") < F.struct("x_id", "x_line")
-    settled = verified(first.filter(earlier & fits("x_", "y_")))
+    ends = classes.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "both", "odd")
+    side = lambda s, *more: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd", *more)]
+    least = ends.groupBy("end").agg(F.min(key).alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "y")
+    held = cut(ends.join(least, "end"), "ends")
+    pivots = held.filter(key == F.col("y")).select("end", *side("y")).dropDuplicates(["end"])
+    first = held.filter(key > F.col("y")).select("end", *side("x")).join(pivots, "end").filter(fits("x_", "y_"))
+    first = cut(first.select("x_id", "x_line", "y_id", "y_line").distinct(), "pairs")
+    drop_cut(held)
+    settled = verified(first)
+    drop_cut(first)
+    gone.append(settled)
 
     # Then all prefixes: the longer line of a pair looks with its prefix for t, the shorter one is found by
     # the shorter prefix for 2 t / (1 + t) of its tokens. The later of the two must not be settled yet.
-    flagged = classes.join(settled.withColumn("settled", F.lit(True)), ["id", "line"], "left")
-    flagged = cut(flagged.select("k", "k2", "id", "line", "n", "bits", "prefix", F.col("settled").isNull().alias("open")), "flagged")
-    for old in (classes, pivots):
-        drop_cut(old)
-    release(docs.sparkSession)
+    at_line = F.pmod(F.xxhash64("id", "line"), F.lit(filter_bits))
+    chosen = bitset.build(settled, at_line, filter_bits)
+    maybe = classes.filter(bitset.has(chosen, at_line)).join(settled.withColumn("settled", F.lit(True)), ["id", "line"], "left")
+    flagged = classes.filter(~bitset.has(chosen, at_line)).select(*payload, F.lit(1).alias("open")).union(maybe.select(*payload, F.col("settled").isNull().cast("int")))
 
-    def entries(side: str, prefix: Column) -> DataFrame:
-        rows = flagged.select("id", "line", "n", "bits", "open", F.posexplode(prefix).alias("at", "tok"))
-        return rows.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "line", "n", "bits", "open", "at")])
+    def entries(s: str, tokens: Column) -> DataFrame:
+        return flagged.select(*payload, "open", F.posexplode(tokens).alias("at", "tok")).select("tok", *side(s, "open", "at"))
 
     longer = entries("l", F.col("prefix"))
     shorter = entries("s", F.slice("prefix", 1, F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1))
     nl, ns, al, as_ = F.col("l_n"), F.col("s_n"), F.col("l_at"), F.col("s_at")
     # at counts from 0: tokens before the match, and the match and what follows.
     positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
-    backwards = F.struct("s_id", "s_line") < F.struct("l_id", "l_line")
-    useful = F.when(backwards, F.col("l_open")).otherwise(F.col("s_open"))
-    later, before = (F.when(backwards, F.struct(*[F.col(f"{a}_{c}").alias(c) for c in ("id", "line")])).otherwise(F.struct(*[F.col(f"{b}_{c}").alias(c) for c in ("id", "line")])) for a, b in ("ls", "sl"))
-    parts = []
-    for i in range(SLICES):  # of the tokens: the shuffle files of one are released before the next
-        mine = F.pmod(F.col("tok"), F.lit(SLICES)) == i
-        found = longer.filter(mine).join(shorter.filter(mine), "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful)
-        found = found.filter((F.col("l_id") != F.col("s_id")) | (F.col("l_line") != F.col("s_line"))).select(later.alias("x"), before.alias("y"))
-        parts.append(cut(found.select(F.col("x.id").alias("x_id"), F.col("x.line").alias("x_line"), F.col("y.id").alias("y_id"), F.col("y.line").alias("y_line")), "candidates"))
-        del found
-        release(docs.sparkSession)
-    later = settled.union(verified(reduce(DataFrame.union, parts))).withColumn("later", F.lit(True))
-    firsts = flagged.select("k", "k2", F.col("id").alias("f_id"), F.col("line").alias("f_line"))
-    firsts = firsts.join(later.select(F.col("id").alias("f_id"), F.col("line").alias("f_line"), "later"), ["f_id", "f_line"], "left")
-    firsts = cut(firsts, "firsts")
-    removed = F.col("later").isNotNull() | (F.col("id") != F.col("f_id")) | (F.col("line") != F.col("f_line"))
-    return occurrences.select("id", "line", "k", "k2").join(firsts, ["k", "k2"]).select("id", "line", removed.alias("removed"))
+    l_key, s_key = F.struct("l_id", "l_line"), F.struct("s_id", "s_line")
+    useful = F.when(s_key < l_key, F.col("l_open")).otherwise(F.col("s_open")) == 1
+    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful & (l_key != s_key))
+    later = lambda c: F.when(s_key < l_key, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}"))
+    before = lambda c: F.when(s_key < l_key, F.col(f"s_{c}")).otherwise(F.col(f"l_{c}"))
+    odd = F.col("l_odd").bitwiseXOR(F.col("s_odd"))
+    apart = F.bit_count(odd) + F.bit_count(F.col("l_both").bitwiseXOR(F.col("s_both")).bitwiseXOR(odd))
+    names = ["x_id", "x_line", "y_id", "y_line"]
+    found = found.select(later("id").alias("x_id"), later("line").alias("x_line"), before("id").alias("y_id"), before("line").alias("y_line"), apart.alias("apart"))
+    found = cut(found.groupBy(names).agg(F.min("apart").alias("apart")), "candidates")
+    for old in (classes, chosen):
+        drop_cut(old)
+    nearest = found.groupBy("x_id", "x_line").agg(F.min(F.struct("apart", "y_id", "y_line")).alias("y"))
+    nearest = cut(nearest.select("x_id", "x_line", F.col("y.y_id").alias("y_id"), F.col("y.y_line").alias("y_line")), "pairs")
+    gone.append(verified(nearest))
+    left = found.join(gone[-1].toDF("x_id", "x_line"), ["x_id", "x_line"], "left_anti").join(nearest, names, "left_anti")
+    left = cut(left.select(names), "pairs")
+    gone.append(verified(left))
+    out = cut(gone[0].union(gone[1]).union(gone[2]).union(gone[3]), "removed")
+    for old in (found, nearest, left, *gone):
+        drop_cut(old)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, names: tuple[str, str] = ("n_lines", "n_removed"), **options: int) -> DataFrame:
@@ -173,43 +193,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are separated by line feeds; a line's tokens are its different words (runs without ASCII
     white space, in lower case). A line is removed if an earlier one, by (id, number in its text),
     has a Jaccard similarity of at least `similarity` to it; lines are judged on the input, whether
-    or not the earlier line is removed too. Lines without tokens stay.
+    or not the earlier line is removed too. Lines without tokens stay. Lines with different words are
+    compared by the words; lines are taken for the same words by 96 bits of hash.
 
     Nulls: a null text stays null and has no lines; rows with a null id stay as they are and remove
     nothing. Rows that share an id are one document: a line number is removed in all of them if in
     one, so repeated rows don't remove each other's lines. Empty tables give no rows. Columns of docs
-    with the new ones' names are replaced, other ones kept.
+    with the new ones' names, in any letter case, are replaced, other ones kept.
     """
     filter_bits = options.get("filter_bits", FILTER_BITS)
-    lines = cut(similar_lines(docs, id_col, text_col, similarity, **options), "judged")
-    # By document, for those that lose a line: which numbers go. Lines without tokens have no row.
-    by_line = lines.filter("removed").repartition("id").groupBy("id", "line").agg(F.lit(True).alias("removed"))
-    gone = cut(by_line.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
+    lines = removed_lines(docs, id_col, text_col, similarity, **options)
+    # By document, for those that lose a line: which numbers go.
+    gone = cut(lines.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
+    drop_cut(lines)
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
     chosen = bitset.build(gone, at(F.col("id")), filter_bits)
-    kept = [c for c in docs.columns if c not in names]
+    kept = others(docs, *names)
     key, text, lost, split, edges, left = free_names(docs, "key_", "text_", "gone_", "lines_", "edges_", "left_")
-    base = docs.select(*kept, F.col(id_col).alias(key), F.col(text_col).alias(text))
+    base = docs.select(*map(col, kept), col(id_col).alias(key), col(text_col).alias(text))
     # Only documents that may lose a line take part in the join.
     maybe = F.coalesce(bitset.has(chosen, at(F.col(key))), F.lit(False))
     gone = gone.select(F.col("id").alias(key), F.col("gone").alias(lost))
-    hit = base.filter(maybe).join(gone, key, "left").select(*kept, text, lost)
-    rows = hit.union(base.filter(~maybe).select(*kept, text, F.lit(None).cast("array<int>").alias(lost)))
+    hit = base.filter(maybe).join(gone, key, "left").select(*map(col, kept), text, lost)
+    rest = base.filter(~maybe)
 
     def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
         """df with a column that is computed once: the optimiser doesn't move it from a generator to where it is used, again and again."""
         return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
-    rows = settle(rows, split, F.split(text, "\n"))
+    hit = settle(hit, split, F.split(text, "\n"))
     # What stays lies between removed lines: two neighbours in `edges` bound a slice each.
     size = F.size(split)
     bounds = F.concat(F.array(F.lit(-1)), F.filter(lost, lambda i: i < F.size(split)), F.array(size))
-    rows = settle(rows, edges, F.when(F.col(lost).isNotNull() & F.col(text).isNotNull(), bounds))
+    hit = settle(hit, edges, F.when(F.col(lost).isNotNull() & F.col(text).isNotNull(), bounds))
     edge = lambda i: F.get(F.col(edges), i)
     between = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(F.col(split), edge(i - 1) + 2, edge(i) - edge(i - 1) - 1))
     loses = F.col(edges).isNotNull()
-    rows = settle(rows, left, F.when(loses, F.array_join(F.flatten(between), "\n")).otherwise(F.col(text)))
-    n_lines = F.when(F.col(text).isNotNull(), size).otherwise(F.lit(0)).cast("long")
+    hit = settle(hit, left, F.when(loses, F.array_join(F.flatten(between), "\n")).otherwise(F.col(text)))
     n_removed = F.when(loses, F.size(edges) - 2).otherwise(F.lit(0)).cast("long")
-    columns = [F.col(left).alias(c) if c == text_col else F.col(c) for c in kept]
-    return rows.select(*columns, n_lines.alias(names[0]), n_removed.alias(names[1]))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1, F.lit(0)).cast("long")
+
+    def columns(of: str, n_removed: Column) -> list[Column]:
+        return [*(F.col(of).alias(c) if c.lower() == text_col.lower() else col(c) for c in kept), n_lines.alias(names[0]), n_removed.alias(names[1])]
+
+    return hit.select(columns(left, n_removed)).union(rest.select(columns(text, F.lit(0).cast("long"))))

@@ -463,8 +463,8 @@ def test_line_dedup_of_random_lines(spark):
     rows = [(i, "\n".join(" ".join(f"w{r.randrange(14)}" for _ in range(r.randrange(1, 12))) for _ in range(4))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for similarity, num, den in ((0.8, 4, 5), (0.5, 1, 2), (1.0, 1, 1)):
-        found = linededup.similar_lines(docs, similarity=similarity, buckets=1024)
-        assert {(x["id"], x["line"]) for x in found.filter("removed").collect()} == removed_lines(rows, num, den)
+        found = linededup.removed_lines(docs, similarity=similarity, buckets=1024)
+        assert {(x["id"], x["line"]) for x in found.collect()} == removed_lines(rows, num, den)
 
 
 # --- 10 -------------------------------------------------------------------------------------------
