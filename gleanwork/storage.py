@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own switch that deletes an execution's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix=f'gleanwork-{application}-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where that is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir as the session has it.
+
+    Unset, only a local master (driver and executor are one process) gets a folder of its own; ValueError
+    otherwise, as the executors of a cluster could not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='gleanwork-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _own_dir(spark.sparkContext.applicationId)
     return named.rstrip("/")
 
 
@@ -30,10 +44,20 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
     This cuts the lineage like checkpoint(), survives lost executors, and later reads prune columns.
+    The shuffle files of the write go when it ends.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -42,9 +66,3 @@ def drop_cut(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that nothing refers to any more, instead of at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
