@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bitset
+from .. import bitset
 from .common import SPACES, cut
 
 #: Bits of the two filters between the levels: 8 MB each whatever the corpus. Fuller filters only let more rows through to the next level.

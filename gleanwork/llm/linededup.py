@@ -9,22 +9,22 @@ signature, which bounds the symmetric difference; what is left is verified on th
 Rarity is looked up in a table of fixed size: the logarithm of the number of words of all documents
 that fall into the token's bucket. Any order gives right results; a coarse one costs some candidates.
 
-A line goes if any earlier line is similar to it. So it is enough to find one. Lines with the same
-tokens are one class, whose first line stands for it; the others go. Each class is first held against
-the earliest class with the same smallest, or largest, token hash: in large groups of near copies that
-settles almost all, with a pair or two for each. Only the others take part in the join as the later
-line of a pair, and of their candidates the one with the nearest signature is verified first: lines
-that it settles need no other.
+A line goes if any earlier line is similar to it. So it is enough to find one. Of lines with the same
+text only the first goes on; the others go. Each is then held against a line of the earliest document
+with the same smallest, or largest, token hash: in large groups of near copies that settles almost all,
+with a pair or two for each. Only the others take part in the join as the later line of a pair, and of
+their candidates the one with the nearest signature is verified first: lines that it settles need no other.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bitset
+from .. import bitset
 from .common import SPACES, col, cut, drop_cut, free_names, others
 
 BUCKETS = 1 << 18  # of the rarity table: 2 MB
@@ -44,9 +44,9 @@ def plain(text: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row, one column, ranks: array<long> with the rank of commonness of each bucket's words, in a token's top byte.
 
-    buckets: a power of two, at least 1024.
+    docs: texts that are plain(); buckets: a power of two, at least 1024.
     """
-    words = docs.select(F.explode(F.split(F.replace(plain(col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.select(_bucket(F.xxhash64("w"), buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     blank = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.union(blank).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -82,12 +82,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, line) of every line that goes, perhaps more than once: see dedup_lines(). A written table."""
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
-    n = F.size("toks")
+    key, pair = F.struct("id", "line"), ["x_id", "x_line", "y_id", "y_line"]
+    at_line = F.pmod(F.xxhash64("id", "line"), F.lit(filter_bits))
     least_overlap = lambda a, b: F.ceil((a + b) * num / F.lit(num + den))
-    key = F.struct("id", "line")
 
-    ranks = rarity(docs, text_col, buckets)
-    rows = _tokenised(_lines(docs, id_col, text_col), ranks, buckets)
+    # Lines with the same text: all but the first go, and take no further part.
+    every = _lines(docs, id_col, text_col)
+    hashes = cut(every.select("id", "line", F.xxhash64("text").alias("h"), F.hash("text").alias("h2")), "hashes")
+    groups = hashes.groupBy("h", "h2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "h2", "first")
+    copies = cut(hashes.join(groups, ["h", "h2"]).filter(key > F.col("first")).select("id", "line"), "copies")
+    gone = [copies]
+    # Bitsets tell them without a join: what is in the first and not in the second is a copy. Some copies may stay, no other line goes.
+    first = bitset.build(copies, at_line, filter_bits)
+    mistaken = hashes.select("id", "line").filter(bitset.has(first, at_line)).join(copies, ["id", "line"], "left_anti")
+    second = bitset.build(mistaken, at_line, filter_bits)
+    different = every.filter(~bitset.has(first, at_line) | bitset.has(second, at_line))
+
+    n = F.size("toks")
+    ranks = rarity(docs.select(plain(col(text_col)).alias("text")), "text", buckets)
     bit = lambda x, first: F.call_function("shiftleft", first, x.bitwiseAND(F.lit(63)).cast("int"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     parity = lambda first: F.aggregate("toks", none, lambda a, x: a.bitwiseXOR(bit(x, first(x))))
@@ -97,27 +109,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefix = F.transform(F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1), lambda x: F.hash(x))
     raw = F.transform("toks", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     ends = F.array_min(raw).alias("low"), F.array_max(raw).alias("high")
-    occurrences = cut(rows.select("id", "line", F.xxhash64("toks").alias("k"), F.hash("toks").alias("k2"), n.alias("n"), *signature, *ends, prefix.alias("prefix")), "lines").filter("n > 0")
-
-    # Classes: of lines with the same tokens only the first goes on. The bitset tells lines that are alone without a join.
-    copies = cut(occurrences.groupBy("k", "k2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2", "first"), "copies")
-    at_class = F.pmod(F.xxhash64("k", "k2"), F.lit(filter_bits))
-    many = bitset.build(copies, at_class, filter_bits)
-    shared = occurrences.filter(bitset.has(many, at_class)).join(copies, ["k", "k2"], "left")
-    shared = cut(shared.withColumn("is_first", F.coalesce(F.col("first") == key, F.lit(True))).drop("first"), "shared")
-    payload = ["id", "line", "n", "both", "odd", "low", "high", "prefix"]
-    # Repeated rows of a first line are one.
-    classes = cut(occurrences.filter(~bitset.has(many, at_class)).select(payload).union(shared.filter("is_first").dropDuplicates(["k", "k2"]).select(payload)), "classes")
-    gone = [cut(shared.filter("NOT is_first").select("id", "line"), "gone")]
-    for old in (occurrences, copies, many, shared):
+    rows = _tokenised(different, ranks, buckets)
+    lines = cut(rows.select("id", "line", n.alias("n"), *signature, *ends, prefix.alias("prefix")), "lines").filter("n > 0")
+    for old in (hashes, ranks, first, second):
         drop_cut(old)
 
-    def fits(x: str, y: str) -> Column:
-        """Length filter and parity signature."""
-        nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-        size = (nx * num <= ny * den) & (ny * num <= nx * den)
+    def apart(x: str, y: str) -> Column:
+        """Bits in which the signatures differ: not more than tokens that only one has."""
         both, odd = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("both", "odd"))
-        return size & (F.bit_count(odd) + F.bit_count(both.bitwiseXOR(odd)) <= nx + ny - 2 * least_overlap(nx, ny))
+        return F.bit_count(odd) + F.bit_count(both.bitwiseXOR(odd))
+
+    def fits(x: str, y: str, nx: Column, ny: Column) -> Column:
+        """Length filter and parity signature."""
+        return (nx * num <= ny * den) & (ny * num <= nx * den) & (apart(x, y) <= nx + ny - 2 * least_overlap(nx, ny))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(id, line) of the later lines of those pairs that really are similar, by their words."""
@@ -135,53 +139,54 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             drop_cut(old)
         return later
 
-    # First the earliest class with the same extreme token hash.
-    ends = classes.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "both", "odd")
-    side = lambda s, *more: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd", *more)]
-    least = ends.groupBy("end").agg(F.min(key).alias("y"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "y")
+    # First the earliest document's line with the same extreme token hash.
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd")]
+    ends = lines.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "both", "odd")
+    least = ends.groupBy("end").agg(F.min("id").alias("earliest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "earliest")
     held = cut(ends.join(least, "end"), "ends")
-    pivots = held.filter(key == F.col("y")).select("end", *side("y")).dropDuplicates(["end"])
-    first = held.filter(key > F.col("y")).select("end", *side("x")).join(pivots, "end").filter(fits("x_", "y_"))
-    first = cut(first.select("x_id", "x_line", "y_id", "y_line").distinct(), "pairs")
-    drop_cut(held)
-    settled = verified(first)
-    drop_cut(first)
+    pivots = held.filter("id = earliest").select("end", *side("y")).dropDuplicates(["end"])
+    pairs = held.select("end", *side("x")).join(pivots, "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
+    pairs = cut(pairs.select(pair).distinct(), "pairs")
+    settled = verified(pairs)
     gone.append(settled)
+    for old in (held, pairs):
+        drop_cut(old)
 
     # Then all prefixes: the longer line of a pair looks with its prefix for t, the shorter one is found by
     # the shorter prefix for 2 t / (1 + t) of its tokens. The later of the two must not be settled yet.
-    at_line = F.pmod(F.xxhash64("id", "line"), F.lit(filter_bits))
     chosen = bitset.build(settled, at_line, filter_bits)
-    maybe = classes.filter(bitset.has(chosen, at_line)).join(settled.withColumn("settled", F.lit(True)), ["id", "line"], "left")
-    flagged = classes.filter(~bitset.has(chosen, at_line)).select(*payload, F.lit(1).alias("open")).union(maybe.select(*payload, F.col("settled").isNull().cast("int")))
+    maybe = lines.filter(bitset.has(chosen, at_line)).join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
+    payload = ["id", "line", "n", "both", "odd"]
+    flagged = lines.filter(~bitset.has(chosen, at_line)).select(*payload, "prefix", F.lit(0).alias("settled")).union(maybe.select(*payload, "prefix", F.coalesce("settled", F.lit(0))))
 
     def entries(s: str, tokens: Column) -> DataFrame:
-        return flagged.select(*payload, "open", F.posexplode(tokens).alias("at", "tok")).select("tok", *side(s, "open", "at"))
+        """A row per token; n, the token's place and the mark of settled lines share a column."""
+        rows = flagged.select(*payload, "settled", F.posexplode(tokens).alias("at", "tok"))
+        packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("settled").cast("long"))
+        return rows.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "both", "odd")], packed.alias(f"{s}_x"))
 
     longer = entries("l", F.col("prefix"))
     shorter = entries("s", F.slice("prefix", 1, F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1))
-    nl, ns, al, as_ = F.col("l_n"), F.col("s_n"), F.col("l_at"), F.col("s_at")
-    # at counts from 0: tokens before the match, and the match and what follows.
+    place = lambda s: F.shiftright(F.col(f"{s}_x").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    nl, ns, al, as_ = F.shiftright("l_x", 32), F.shiftright("s_x", 32), place("l"), place("s")
+    # Places count from 0: tokens before the match, and the match and what follows.
     positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
     l_key, s_key = F.struct("l_id", "l_line"), F.struct("s_id", "s_line")
-    useful = F.when(s_key < l_key, F.col("l_open")).otherwise(F.col("s_open")) == 1
-    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_") & positional & useful & (l_key != s_key))
+    useful = F.when(s_key < l_key, F.col("l_x")).otherwise(F.col("s_x")).bitwiseAND(F.lit(1)) == 0
+    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_", nl, ns) & positional & useful & (l_key != s_key))
     later = lambda c: F.when(s_key < l_key, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}"))
     before = lambda c: F.when(s_key < l_key, F.col(f"s_{c}")).otherwise(F.col(f"l_{c}"))
-    odd = F.col("l_odd").bitwiseXOR(F.col("s_odd"))
-    apart = F.bit_count(odd) + F.bit_count(F.col("l_both").bitwiseXOR(F.col("s_both")).bitwiseXOR(odd))
-    names = ["x_id", "x_line", "y_id", "y_line"]
-    found = found.select(later("id").alias("x_id"), later("line").alias("x_line"), before("id").alias("y_id"), before("line").alias("y_line"), apart.alias("apart"))
-    found = cut(found.groupBy(names).agg(F.min("apart").alias("apart")), "candidates")
-    for old in (classes, chosen):
+    found = found.select(later("id").alias("x_id"), later("line").alias("x_line"), before("id").alias("y_id"), before("line").alias("y_line"), apart("l_", "s_").alias("apart"))
+    found = cut(found.groupBy(pair).agg(F.min("apart").alias("apart")), "candidates")
+    for old in (lines, chosen):
         drop_cut(old)
     nearest = found.groupBy("x_id", "x_line").agg(F.min(F.struct("apart", "y_id", "y_line")).alias("y"))
     nearest = cut(nearest.select("x_id", "x_line", F.col("y.y_id").alias("y_id"), F.col("y.y_line").alias("y_line")), "pairs")
     gone.append(verified(nearest))
-    left = found.join(gone[-1].toDF("x_id", "x_line"), ["x_id", "x_line"], "left_anti").join(nearest, names, "left_anti")
-    left = cut(left.select(names), "pairs")
+    left = found.join(gone[-1].toDF("x_id", "x_line"), ["x_id", "x_line"], "left_anti").join(nearest, pair, "left_anti")
+    left = cut(left.select(pair), "pairs")
     gone.append(verified(left))
-    out = cut(gone[0].union(gone[1]).union(gone[2]).union(gone[3]), "removed")
+    out = cut(reduce(DataFrame.union, gone), "removed")
     for old in (found, nearest, left, *gone):
         drop_cut(old)
     return out
@@ -194,7 +199,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     white space, in lower case). A line is removed if an earlier one, by (id, number in its text),
     has a Jaccard similarity of at least `similarity` to it; lines are judged on the input, whether
     or not the earlier line is removed too. Lines without tokens stay. Lines with different words are
-    compared by the words; lines are taken for the same words by 96 bits of hash.
+    compared by the words; lines with the same text are told by 96 bits of hash.
 
     Nulls: a null text stays null and has no lines; rows with a null id stay as they are and remove
     nothing. Rows that share an id are one document: a line number is removed in all of them if in

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitset
+from .. import bitset
 from .common import cut
 
 FIRST = 5  # the shortest first length

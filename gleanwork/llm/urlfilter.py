@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bitset
+from .. import bitset
 from .common import LOWER, UPPER, cut
 
 MAX_LEVELS = 40
