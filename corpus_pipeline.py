@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import bitset, decontam, langid, linededup, packing, simhash
+from gleanwork import bitset
+from gleanwork.llm import decontam, langid, linededup, packing, simhash
 from gleanwork.llm.common import SPACES, cut, free_names, table
 from gleanwork.llm.queries import tokenizer_path
 
