@@ -14,6 +14,8 @@ text only the first goes on; the others go. Each is then held against a line of
 with the same smallest, or largest, token hash: in large groups of near copies that settles almost all,
 with a pair or two for each. Only the others take part in the join as the later line of a pair, and of
 their candidates the one with the nearest signature is verified first: lines that it settles need no other.
+
+Tables that grow with the corpus are joined by sorting, never broadcast.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = _lines(docs, id_col, text_col)
     hashes = cut(every.select("id", "line", F.xxhash64("text").alias("h"), F.hash("text").alias("h2")), "hashes")
     groups = hashes.groupBy("h", "h2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "h2", "first")
-    copies = cut(hashes.join(groups, ["h", "h2"]).filter(key > F.col("first")).select("id", "line"), "copies")
+    copies = cut(hashes.join(groups.hint("merge"), ["h", "h2"]).filter(key > F.col("first")).select("id", "line"), "copies")
     gone = [copies]
     # Bitsets tell them without a join: what is in the first and not in the second is a copy. Some copies may stay, no other line goes.
     first = bitset.build(copies, at_line, filter_bits)
@@ -131,7 +133,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = _lines(docs.filter(bitset.has(chosen, at(col(id_col)))), id_col, text_col).join(wanted, ["id", "line"], "left_semi")
         words = cut(texts.select("id", "line", F.array_remove(F.array_distinct(F.split("text", " ")), "").alias("words")), "words")
         x, y = (words.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")) for s in "xy")
-        both = pairs.join(x, ["x_id", "x_line"]).join(y, ["y_id", "y_line"])
+        both = pairs.join(x.hint("merge"), ["x_id", "x_line"]).join(y.hint("merge"), ["y_id", "y_line"])
         common = F.size(F.array_intersect("x_words", "y_words"))
         true = common * (num + den) >= (F.size("x_words") + F.size("y_words")) * num
         later = cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
@@ -143,9 +145,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd")]
     ends = lines.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "both", "odd")
     least = ends.groupBy("end").agg(F.min("id").alias("earliest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "earliest")
-    held = cut(ends.join(least, "end"), "ends")
+    held = cut(ends.join(least.hint("merge"), "end"), "ends")
     pivots = held.filter("id = earliest").select("end", *side("y")).dropDuplicates(["end"])
-    pairs = held.select("end", *side("x")).join(pivots, "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
+    pairs = held.select("end", *side("x")).join(pivots.hint("merge"), "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
     pairs = cut(pairs.select(pair).distinct(), "pairs")
     settled = verified(pairs)
     gone.append(settled)
@@ -173,7 +175,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
     l_key, s_key = F.struct("l_id", "l_line"), F.struct("s_id", "s_line")
     useful = F.when(s_key < l_key, F.col("l_x")).otherwise(F.col("s_x")).bitwiseAND(F.lit(1)) == 0
-    found = longer.join(shorter, "tok").filter((nl >= ns) & fits("l_", "s_", nl, ns) & positional & useful & (l_key != s_key))
+    found = longer.join(shorter.hint("merge"), "tok").filter((nl >= ns) & fits("l_", "s_", nl, ns) & positional & useful & (l_key != s_key))
     later = lambda c: F.when(s_key < l_key, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}"))
     before = lambda c: F.when(s_key < l_key, F.col(f"s_{c}")).otherwise(F.col(f"l_{c}"))
     found = found.select(later("id").alias("x_id"), later("line").alias("x_line"), before("id").alias("y_id"), before("line").alias("y_line"), apart("l_", "s_").alias("apart"))
@@ -219,7 +221,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only documents that may lose a line take part in the join.
     maybe = F.coalesce(bitset.has(chosen, at(F.col(key))), F.lit(False))
     gone = gone.select(F.col("id").alias(key), F.col("gone").alias(lost))
-    hit = base.filter(maybe).join(gone, key, "left").select(*map(col, kept), text, lost)
+    hit = base.filter(maybe).join(gone.hint("merge"), key, "left").select(*map(col, kept), text, lost)
     rest = base.filter(~maybe)
 
     def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
