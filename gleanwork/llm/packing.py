@@ -10,6 +10,7 @@ again by first fit.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a
 SMALLEST = 32  # a rest of at most so many tokens is never cut
 CACHE = 500_000  # words in a generation of those whose ids a worker remembers: some 100 MB
 TOGETHER = 1 << 21  # characters of texts whose new words are learned at once
+HELD = 1 << 20  # ids, or 16 of them a piece without ids, that a worker holds before it hands them on
 END_ID = 1
 SEPARATOR = "<|startoftext|>"
 #: Words whose letters and marks the pre-tokeniser always parts, with letters that are their own normal form but for case.
@@ -49,6 +51,14 @@ def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+#: The steps of a tokenizer file for which words can be encoded one by one and LETTERS holds.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class _Ids(dict):
     """The ids of words, in two generations: when the younger is full, it becomes the older, and words that are used return."""
 
@@ -64,21 +74,41 @@ class _Ids(dict):
             self.clear()
 
 
+class PlainEncoder:
+    """The ids that any tokenizer gives, text by text."""
+
+    def __init__(self, one) -> None:
+        self.one = one
+
+    def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
+        for t in texts:
+            yield np.array(self.one.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordEncoder:
     """The ids that a tokenizer of white-space-separated words gives, with the ids of words remembered.
 
     Its normaliser and pre-tokeniser drop white space and never join characters across it, so a
     text's ids are those of its words in order. Words that are new are encoded together, kept apart
-    by a special token.
+    by a special token. fits() tells whether a tokenizer is of this kind.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.one = Tokenizer.from_file(path)
-        self.separator = self.one.token_to_id(SEPARATOR)
+    def __init__(self, one) -> None:
+        self.one = one
+        self.separator = one.token_to_id(SEPARATOR)
         self.ids = _Ids()
 
+    @staticmethod
+    def fits(file: dict) -> bool:
+        """By the tokenizer's own file: it normalises and parts texts in the steps known here, and has the separator as a special token."""
+
+        def kinds(step: dict | None, inner: str) -> list[dict]:
+            return [y for x in step[inner] for y in kinds(x, inner)] if step and inner in step else [step] if step else []
+
+        normal, parts = kinds(file.get("normalizer"), "normalizers"), kinds(file.get("pre_tokenizer"), "pretokenizers")
+        special = any(x.get("content") == SEPARATOR and x.get("special") and not x.get("normalized") and not x.get("lstrip") and not x.get("rstrip") for x in file.get("added_tokens") or [])
+        return special and normal == NORMALIZER and parts == PRE_TOKENIZER
+
     def _learn(self, words: set[str]) -> None:
         self.ids.make_room(2 * len(words))
         alone, joined = set(), []
@@ -103,21 +133,23 @@ class WordEncoder:
             for w, i, j in zip(some, [-1, *edge], [*edge, len(ids)], strict=True):
                 self.ids[w] = ids[i + 1 : j].tobytes()
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text. New words are learned for some texts at a time."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                size += len(texts[end])
-                end += 1
+        held, size = [], 0
+        for t in texts:
             # All that is split on is white space to the tokenizer too.
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:end]]
-            if new := [w for w in set().union(*split) if w not in self.ids and w not in self.ids.old]:
-                self._learn(set(new))
-            for words in split:
-                yield self._join(words)
-            at = end
+            held.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._all(held)
+                held, size = [], 0
+        yield from self._all(held)
+
+    def _all(self, split: list[list[str]]) -> Iterator[bytes]:
+        if new := [w for w in set().union(*split) if w not in self.ids and w not in self.ids.old]:
+            self._learn(set(new))
+        for words in split:
+            yield self._join(words)
 
     def _join(self, words: list[str]) -> bytes:
         try:
@@ -132,30 +164,43 @@ class WordEncoder:
             return b"".join(out)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | PlainEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | PlainEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        from tokenizers import Tokenizer
+
+        one = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            _encoders[path] = (WordEncoder if WordEncoder.fits(json.load(f)) else PlainEncoder)(one)
     return _encoders[path]
 
 
 def _tokenize(path: str, capacity: int, with_ids: bool):
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
+    kinds = (pa.int64(),) * 5 + (pa.list_(pa.int32()),)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows, held = [], 0
+            # Texts leave Arrow one by one; what is held of them and of their pieces is bounded.
+            texts = ((t.as_py() or "") for t in batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts)):
                 ids += END_ID.to_bytes(4, "little")
                 start, total = 0, len(ids) // 4
                 for n in cuts(total, capacity):
                     piece = ids[4 * start : 4 * (start + n)]
-                    for k, v in zip(rows, (doc, start, n, zlib.crc32(piece), total, np.frombuffer(piece, "<u4").astype(np.int32) if with_ids else None)):
-                        rows[k].append(v)
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(),) * 5 + (pa.list_(pa.int32()),))], [*rows])
+                    rows.append((doc, start, n, zlib.crc32(piece), total, np.frombuffer(piece, "<u4").astype(np.int32) if with_ids else None))
+                    start, held = start + n, held + (n if with_ids else 16)
+                if held >= HELD:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [*columns])
 
     return run
 
