@@ -10,18 +10,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .. import bitset
+from .common import col, cut, new_path
 
 #: Fixed by the WARC format.
 VERSION, GZIP_MAGIC = b"WARC/1.1", b"\x1f\x8b\x08"
-START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+START, ANY_START = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 DATE = "1970-01-01T00:00:00Z"  # the tables carry no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAX_HEADER = 1 << 16
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 32 << 20
+FILTER_BITS = 1 << 26
+CHUNK = 1 << 20  # compressed bytes that are read at a time
 
 
 def payload_digest(payload: bytes) -> str:
@@ -54,70 +57,105 @@ class Gap:
     reason: str
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
-    """The record at this place and where it ends, or what is wrong there."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
-        return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0:
-        return "header without end"
-    headers: dict[str, str] = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not re.fullmatch(rb"[!#-'*+.0-9A-Z^-z|~-]+", name):
-            return "malformed header"
-        headers[name.decode().lower()] = value.strip().decode("utf-8", "replace")
-    size = headers.get("content-length", "")
-    if not (size.isascii() and size.isdigit()):
-        return "no content length"
-    start = end + 4
-    stop = start + int(size)
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return "record cut short or of wrong length"
-    block = data[start:stop]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:] != payload_digest(block):
-        return "block digest differs"
-    return Record(at, headers, block), stop + 4
-
-
-def _member(data: bytes, at: int) -> tuple[Record, int] | str:
-    """The record in the gzip member at this place."""
-    z = zlib.decompressobj(wbits=31)
-    try:
-        plain = z.decompress(memoryview(data)[at:]) + z.flush()
-    except zlib.error:
-        return "damaged member"
-    if not z.eof:
-        return "member cut short"
-    found = _parse(plain, 0)
-    if isinstance(found, str):
-        return found
-    if found[1] != len(plain):
-        return "member with more than a record"
-    return Record(at, found[0].headers, found[0].block), len(data) - len(z.unused_data)
+class _Archive:
+    """Records at given places of some bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.blank = data, -1
+
+    def parse(self, at: int) -> tuple[Record, int] | str:
+        """The record at this place and where it ends, or what is wrong there."""
+        data = self.data
+        if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
+            return "no version line"
+        # Headers may be of any length. The blank line that was found last is still the next one as long as it lies ahead.
+        if self.blank < at:
+            self.blank = data.find(b"\r\n\r\n", at)
+            if self.blank < 0:
+                self.blank = len(data)
+        end = self.blank
+        if end == len(data):
+            return "header without end"
+        headers: dict[str, str] = {}
+        for line in data[at:end].split(b"\r\n")[1:]:
+            name, colon, value = line.partition(b":")
+            if not colon or not re.fullmatch(rb"[!#-'*+.0-9A-Z^-z|~-]+", name):
+                return "malformed header"
+            headers[name.decode().lower()] = value.strip().decode("utf-8", "replace")
+        size = headers.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            return "no content length"
+        start = end + 4
+        stop = start + int(size)
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            return "record cut short or of wrong length"
+        block = data[start:stop]
+        digest = headers.get("warc-block-digest", "")
+        if digest.startswith("sha1:") and digest[5:] != payload_digest(block):
+            return "block digest differs"
+        return Record(at, headers, block), stop + 4
+
+    def member(self, at: int) -> tuple[bytes, int] | str:
+        """What the gzip member at this place holds and where it ends. It is read in pieces, so members cost what they are long."""
+        z, out, view, fed = zlib.decompressobj(wbits=31), [], memoryview(self.data), at
+        try:
+            while not z.eof and fed < len(view):
+                out.append(z.decompress(view[fed : fed + CHUNK]))
+                fed = min(len(view), fed + CHUNK)
+        except zlib.error:
+            return "damaged member"
+        return (b"".join(out), fed - len(z.unused_data)) if z.eof else "member cut short"
+
+
+def _plain(data: bytes) -> Iterator[Record | Gap]:
+    """The records of an archive or a member, none of them compressed, and gaps."""
+    archive, at, gap, why = _Archive(data), 0, None, ""
+    while at < len(data):
+        found = archive.parse(at)
+        if not isinstance(found, str):
+            if gap is not None:
+                yield Gap(gap, at - gap, why)
+                gap = None
+            yield found[0]
+            at = found[1]
+            continue
+        if gap is None:
+            gap, why = at, found
+        following = START.search(data, at + 1)
+        at = following.start() if following else len(data)
+    if gap is not None:
+        yield Gap(gap, len(data) - gap, why)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive, compressed by member or not, in order, and the gaps between them.
+    """All valid records of an archive, compressed by member, as a whole or not, in order, and the gaps between them.
 
     Where a check fails (magic, version line, header, length, block digest, gzip checksum), the next
     member or version line is searched for that starts a valid record; the bytes up to there are a
-    gap, with the reason of the failure at its start.
+    gap, with the reason of the failure at its start. A sound member may hold any number of records,
+    which have its offset; a gap within it is told as such, its length being that of the bytes in it.
     """
-    at, gap, why = 0, None, ""
+    archive, at, gap, why = _Archive(data), 0, None, ""
     while at < len(data):
-        found = _member(data, at) if data[at : at + 3] == GZIP_MAGIC else _parse(data, at)
+        packed = data[at : at + 3] == GZIP_MAGIC
+        found = archive.member(at) if packed else archive.parse(at)
+        if packed and not isinstance(found, str):
+            inner = list(_plain(found[0]))
+            if not any(isinstance(x, Record) for x in inner):
+                found = inner[0].reason if inner else "empty member"
         if not isinstance(found, str):
             if gap is not None:
                 yield Gap(gap, at - gap, why)
                 gap = None
-            yield found[0]
+            if packed:
+                yield from (Record(at, x.headers, x.block) if isinstance(x, Record) else Gap(at, x.length, f"{x.reason}, in a member") for x in inner)
+            else:
+                yield found[0]
             at = found[1]
             continue
         if gap is None:
             gap, why = at, found
-        following = START.search(data, at + 1)
+        following = ANY_START.search(data, at + 1)
         at = following.start() if following else len(data)
     if gap is not None:
         yield Gap(gap, len(data) - gap, why)
@@ -131,19 +169,30 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     smaller payloads are always responses.
 
     Spark's text writer puts the records' bytes down as they are, each ended by the blank lines that
-    end a WARC record, so archives appear by Spark's commit protocol on any file system. Payloads are
-    looked up by digest; groups of equal payloads are aggregated partially before.
+    end a WARC record, so archives appear by Spark's commit protocol on any file system. A task begins
+    another archive when the last has archive_bytes. Payloads are told apart by digest: groups of equal
+    ones are aggregated partially, rows of other payloads take no part in any join, and of the groups
+    only one payload each is shuffled, that of the response.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    groups = cut(rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payloads")
-    rows = rows.join(groups, "sha", "left")
-    revisit = F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = rows.select("id", "url", "sha", F.length("payload").alias("size"), F.when(revisit, F.col("first")).alias("refers"), revisit.alias("revisit"), F.when(~revisit, F.col("payload")).alias("payload"))
+    payload = F.coalesce(col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload"))
+    groups = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = cut(groups.select("sha", "first", F.lit(True).alias("shared")), "payloads")
+    at_sha, at_row = (F.pmod(F.xxhash64(*c), F.lit(FILTER_BITS)) for c in (["sha"], ["sha", "id"]))
+    many = bitset.build(groups, at_sha, FILTER_BITS)
+    looked = rows.filter(bitset.has(many, at_sha)).select("id", "url", "sha", "size").join(groups, "sha", "left")
+    looked = cut(looked.withColumn("revisit", F.col("shared").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))), "looked")
+    stays = looked.filter("NOT revisit").select("sha", "id").distinct()
+    whole = bitset.build(stays, at_row, FILTER_BITS)
+    kept = stays.select(F.col("sha").alias("_sha"), F.col("id").alias("_id"))
+    responses = rows.filter(bitset.has(many, at_sha) & bitset.has(whole, at_row)).join(kept, (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    responses = rows.filter(~bitset.has(many, at_sha)).unionByName(responses).select("id", "url", "sha", "size", F.lit(None).cast(pages.schema[id_col].dataType).alias("refers"), F.lit(False).alias("revisit"), "payload")
+    rows = responses.union(looked.filter("revisit").select("id", "url", "sha", "size", F.col("first").alias("refers"), "revisit", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, archive, filled = TaskContext.get().partitionId(), 0, 0
         for pdf in batches:
-            out = []
+            out, where, size = [], [], 0
             for r in pdf.itertuples(index=False):
                 # A null id, or a null to refer to, has no header; integers may come as floats beside nulls.
                 block = b"" if r.revisit else bytes(r.payload)
@@ -160,14 +209,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     "X-Payload-Length": r.size,
                 }
                 headers["WARC-Record-ID"] = f"<urn:sha1:{hashlib.sha1(repr(headers).encode()).hexdigest()}>"
-                out.append(frame({k: str(v) for k, v in headers.items() if v is not None}, block)[:-4])
-            yield pd.DataFrame({"record": out})
+                record = frame({k: str(v) for k, v in headers.items() if v is not None}, block)[:-4]
+                if filled and filled + len(record) + 4 > archive_bytes:
+                    archive, filled = archive + 1, 0
+                filled, size = filled + len(record) + 4, size + len(record)
+                out.append(record)
+                where.append(f"{task:06d}-{archive:06d}")
+                if size > 4 << 20:
+                    yield pd.DataFrame({"record": out, "archive": where})
+                    out, where, size = [], [], 0
+            yield pd.DataFrame({"record": out, "archive": where})
 
     ids = [F.col(c).cast("string").alias(c) for c in ("id", "refers")]
-    records = rows.select(*ids, "url", "sha", "size", "revisit", "payload").mapInPandas(run, "record binary")
-    # The cast keeps bytes as they are; the line separator is what ends a record.
-    per_file = max(1, archive_bytes >> 14)
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    records = rows.select(*ids, "url", "sha", "size", "revisit", "payload").mapInPandas(run, "record binary, archive string")
+    # The cast keeps bytes as they are; the line separator is what ends a record. A folder for each archive holds one file.
+    records.select(F.col("record").cast("string").alias("value"), "archive").write.option("lineSep", "\r\n\r\n").partitionBy("archive").text(path)
 
 
 def read_archives(df: DataFrame) -> DataFrame:
@@ -206,7 +262,7 @@ def round_trip(pages: DataFrame, path: str | None = None, **columns) -> DataFram
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, **columns)
-    found = read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path))
+    found = read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path))
     h = lambda name: F.element_at("headers", name)
     fine = F.when(F.col("reason").isNull(), h("x-page-id")).otherwise(F.raise_error(F.concat(F.lit("gap in new archive "), "path")))
     digest = F.regexp_replace(h("warc-payload-digest"), "^sha1:", "")
