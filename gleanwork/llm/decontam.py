@@ -1,31 +1,34 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-Scores are shares of an item's score for its own text, so that one threshold fits all items. The
+Scores are shares of what an item must reach, so that one threshold fits all items. The
 index is searched with block-max WAND: blocks are ranges of items, the same for all terms. A passage
-is left if the largest impacts of its terms can't reach the threshold together; else blocks are left
-whose own largest impacts can't; in the others, cursors over the terms' postings skip to pivots.
-All items at or above the threshold are retrieved, and the overlap of their question and of their
+is left if the largest impacts of its terms can't reach the threshold together. Else only blocks
+count in which a term occurs that can carry an item over the threshold with those of smaller
+impact; of these, blocks are left whose own largest impacts can't reach it; in the others, cursors
+over the terms' postings skip to pivots. All items at or above the threshold are retrieved, and the overlap of their question and of their
 answer with the passage is verified.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, cut, free_names, others
+
 K1, B = 1.2, 0.75
-THRESHOLD = 0.6  # of an item's own score; a passage that holds 80 % of an item's shingles scores more
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 4
-MAX_CHARS = 64 << 20  # of all items together: the index is broadcast, some 10 bytes a character
+MAX_CHARS = 4 << 20  # of the items of a part: its index is broadcast, some 60 bytes a character in a worker
 WORD = re.compile(r"\w+")
 
 
@@ -43,15 +46,28 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def bearable(own: list[set[tuple[str, ...]]], whole: set[tuple[str, ...]] | None, overlap: float) -> int:
+    """How many of an item's words a text may lack that still has the overlap of its shingles: no more than shingles that may be missing.
+
+    Every word that is missing takes another shingle with it: the one that it begins, or ends, where it comes first.
+    """
+    missing = lambda s: len(s) - math.ceil(overlap * len(s) - 1e-9)
+    return max(sum(map(missing, own)), missing(whole) if whole else 0)
+
+
 class Index:
-    """BM25 impacts of items, as shares of their own score.
+    """BM25 impacts of items, as shares of what each item must reach.
 
     items: (id, question, answer), ids ascending; split: whether question and answer are one text's, see hits().
+    An item's score is at most that for its own text. What a text must reach of it (`limits`) is the threshold, if
+    one is given; else all but the largest impacts of as many words as a text that has the overlap can lack, so
+    that no such text is missed. Impacts are divided by this, so the search's threshold is 1 for all items.
     """
 
-    def __init__(self, items: list[tuple[int, str, str]], block: int = BLOCK, split: bool = False) -> None:
+    def __init__(self, items: list[tuple[int, str, str]], block: int = BLOCK, split: bool = False, threshold: float | None = None, overlap: float = OVERLAP) -> None:
         items = [x for x in items if words_of(x[1]) or words_of(x[2])]
         self.ids = [x[0] for x in items]
+        self.overlap = overlap
         self.parts = [[shingles(words_of(q)), shingles(words_of(a))] for _, q, a in items]
         self.whole = [shingles(words_of(q) + words_of(a)) if split else None for _, q, a in items]
         bags = [Counter(words_of(q) + words_of(a)) for _, q, a in items]
@@ -60,28 +76,50 @@ class Index:
         df = Counter(w for b in bags for w in b)
         self.terms = {w: i for i, w in enumerate(sorted(df))}
         idf = {w: np.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        impact = [{w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * sum(b.values()) / mean)) for w, f in b.items()} for b in bags]
+        self.limits = np.ones(len(items))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for i, own in enumerate(impact):
+        for i, b in enumerate(bags):
+            own = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * sum(b.values()) / mean)) for w, f in b.items()}
             total = sum(own.values())
+            lacks = sum(sorted(own.values(), reverse=True)[: bearable(self.parts[i], self.whole[i], overlap)])
+            self.limits[i] = (total - lacks) / total if threshold is None else threshold
             for w, v in own.items():
-                postings[self.terms[w]].append((i, v / total))
+                postings[self.terms[w]].append((i, v / total / self.limits[i]))
         self.postings = [([i for i, _ in p], [v for _, v in p]) for p in postings]
         self.best = np.array([max(v) for _, v in self.postings]) if postings else np.zeros(0)
         self.block = block
-        self.blocks = -(-len(bags) // block)
         self.block_best = []
         for at, v in self.postings:
             b = np.array(at) // block
             edge = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
             self.block_best.append((b[edge], np.maximum.reduceat(np.array(v), edge)))
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item's number, score) with a score of at least the threshold, for a passage's different terms."""
-        where = np.concatenate([self.block_best[t][0] for t in terms])
-        bound = np.bincount(where, np.concatenate([self.block_best[t][1] for t in terms]), self.blocks)
+    def search(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
+        """All (item's number, score) with a score of at least the threshold, for a passage's different terms.
+
+        Terms are taken by their largest impact. Those of the smallest, which together don't reach the threshold, can't
+        carry an item: only blocks that the others occur in are looked at. Block maxima are added term by term,
+        and a block goes as soon as what is left can't lift it to the threshold.
+        """
+        terms = sorted(terms, key=lambda t: -self.best[t])
+        best = self.best[terms]
+        left = np.append(np.cumsum(best[::-1])[::-1], 0.0)  # of this term and those behind it
+        carry = int((left[:-1] >= threshold - 1e-9).sum())
+        if not carry:
+            return []
+        blocks = np.unique(np.concatenate([self.block_best[t][0] for t in terms[:carry]]))
+        bound = np.zeros(len(blocks))
+        for n, t in enumerate(terms):
+            there, most = self.block_best[t]
+            at = np.minimum(np.searchsorted(there, blocks), len(there) - 1)
+            bound += np.where(there[at] == blocks, most[at], 0.0)
+            if n % 8 == 7 or n == len(terms) - 1:
+                good = bound + left[n + 1] >= threshold - 1e-9
+                blocks, bound = blocks[good], bound[good]
+                if not len(blocks):
+                    return []
         out = []
-        for b in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        for b in blocks.tolist():
             out += self._wand(terms, b * self.block, (b + 1) * self.block, threshold)
         return out
 
@@ -105,28 +143,19 @@ class Index:
                     break
             if pivot is None:
                 break
-            if cursors[0][0] == pivot:
-                score = 0.0
-                for c in cursors:
-                    if c[0] != pivot:
-                        break
-                    score += c[4][c[1]]
-                    c[1] += 1
-                    c[0] = c[3][c[1]] if c[1] < c[2] else -1
-                if score >= threshold - 1e-9:
-                    out.append((pivot, score))
-            else:
-                for c in cursors:
-                    if c[0] >= pivot:
-                        break
-                    while c[1] < c[2] and c[3][c[1]] < pivot:
-                        c[1] += 1
+            # Cursors before the pivot skip to it; if all stand on it, it is scored and they go past it.
+            score = sum(c[4][c[1]] for c in cursors if c[0] == pivot) if cursors[0][0] == pivot else None
+            if score is not None and score >= threshold - 1e-9:
+                out.append((pivot, score))
+            for c in cursors:
+                if c[0] <= pivot:
+                    c[1] = bisect_left(c[3], pivot + (score is not None), c[1], c[2])
                     c[0] = c[3][c[1]] if c[1] < c[2] else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def hits(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, float]:
-        """Items (by id) that the text holds, with the best score of its passages.
+    def hits(self, text: str | None) -> dict[int, float]:
+        """Items (by id) that the text holds, with the best score of its passages, as a share of the item's own.
 
         Passages are windows of twice the longest item's words, each half overlapping the next, so
         that any span as long as an item lies within one. Both parts of an item must be covered; of
@@ -147,17 +176,17 @@ class Index:
         passage, term = keys // v, keys % v
         bound = np.bincount(passage, self.best[term])
         out: dict[int, float] = {}
-        for p in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        for p in np.flatnonzero(bound >= 1 - 1e-9).tolist():
             i, j = np.searchsorted(passage, (p, p + 1)).tolist()
-            found = self.search(term[i:j].tolist(), threshold)
+            found = self.search(term[i:j].tolist())
             if not found:
                 continue
             # The sets of the passage's shingles, by length: shorter parts have one of their own length.
             own = words[p * step : (p + 2) * step]
             cache: dict[int, set] = {}
             for k, score in found:
-                if self._held(k, own, cache, overlap):
-                    out[self.ids[k]] = max(score, out.get(self.ids[k], 0.0))
+                if self._held(k, own, cache, self.overlap):
+                    out[self.ids[k]] = max(score * self.limits[k], out.get(self.ids[k], 0.0))
         return out
 
     def _held(self, k: int, words: list[str], cache: dict[int, set], overlap: float) -> bool:
@@ -175,42 +204,68 @@ class Index:
         return len(part & cache[n]) / len(part)
 
 
-def index_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Index:
-    """The index of a benchmark, whose size is checked: ValueError beyond MAX_CHARS.
+def indices_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, threshold: float | None = None, overlap: float = OVERLAP, max_chars: int = MAX_CHARS) -> Iterator[Index]:
+    """Indices of a benchmark's parts, of about max_chars characters each (one item may have more); one part is held at a time.
 
     Without an answer column, an item's last sentence is its answer. Items without words or with a
     null id are left out; of items with the same id, each is indexed.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else F.lit("")
-    rows = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), text.alias("q"), answer.alias("a"))
-    size = rows.agg(F.sum(F.length("q") + F.length("a") + 16)).first()[0] or 0
-    if size > MAX_CHARS:
-        raise ValueError(f"the test items have {size} characters; at most {MAX_CHARS} are broadcast at once: call once per part")
-    return Index(sorted((r["i"], *(parts(r["q"]) if answer_col is None else (r["q"], r["a"]))) for r in rows.collect()), split=answer_col is None)
+    text = F.coalesce(col(text_col), F.lit(""))
+    answer = F.coalesce(col(answer_col), F.lit("")) if answer_col else F.lit("")
+    rows = items.filter(col(id_col).isNotNull()).select(col(id_col).cast("long").alias("i"), text.alias("q"), answer.alias("a"))
+    # Items of like length are in one part, as the longest item of a part sets the length of its passages.
+    rows = rows.withColumn("size", F.floor(F.log2(F.length("q") + F.length("a") + 64.0) / 3))
+    for size, chars in sorted(map(tuple, rows.groupBy("size").agg(F.sum(F.length("q") + F.length("a") + 16)).collect())):
+        parts_ = -(-chars // max_chars)
+        for k in range(parts_):
+            some = rows.filter((F.col("size") == size) & (F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts_)) == k)).collect()
+            yield Index(sorted((r["i"], *(parts(r["q"]) if answer_col is None else (r["q"], r["a"]))) for r in some), split=answer_col is None, threshold=threshold, overlap=overlap)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, names: tuple[str, str, str] = ("contaminated", "items", "best_score"), **item_columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float | None = None, overlap: float = OVERLAP, names: tuple[str, str, str] = ("contaminated", "items", "best_score"), max_chars: int = MAX_CHARS, **item_columns: str) -> DataFrame:
     """docs with three more columns, by default contaminated, items (sorted array of item ids), best_score (0 without items).
 
     A document is contaminated by an item if one of its passages reaches the item's threshold and
     holds at least `overlap` of the item's different five-word shingles, in its question and in its
     answer each (a part with fewer words is one shingle); without an answer column, in the whole text
-    and the longer of both parts is enough. Words are runs of letters, digits and
-    underscores, in lower case. There is no shuffle.
+    and the longer of both parts is enough. Words are runs of letters, digits and underscores, in
+    lower case. threshold: a share of the items' own scores; by default each item's is as low as the
+    overlap asks for, so that retrieval misses nothing (see Index). There is no shuffle. Benchmarks of
+    over max_chars characters, or with items of very different lengths, are taken in parts, one pass each.
 
     Nulls: a null or empty text holds nothing, nor does any text if there are no items. Repeated rows
     give repeated results; an empty table of docs gives no rows. Columns of
-    docs with the new ones' names are replaced.
+    docs with the new ones' names, in any letter case, are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index_of(items, **item_columns))
+    kept = others(docs, *names)
+    found, more = free_names(docs, "found", "more")
+    rows, before = docs.select(*map(col, kept)), None
+    nothing = F.struct(F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("best_score"))
+
+    def judged(index: Index) -> Callable[[Column], Column]:
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.arrow_udf("items array<long>, best_score double")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                hits = [held.value.hits(t.as_py()) for t in batch]
+                items_, scores = pa.array([sorted(x) for x in hits], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in hits], pa.float64())
+                yield pa.StructArray.from_arrays([items_, scores], names=["items", "best_score"])
 
-    @F.pandas_udf("items array<long>, best_score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [held.value.hits(t, threshold, overlap) for t in batch]
-            yield pd.DataFrame({"items": [sorted(x) for x in found], "best_score": [max(x.values(), default=0.0) for x in found]})
+        return run
 
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("row"), run(F.col(text_col)).alias("found"))
-    new = F.size("found.items") > 0, F.col("found.items"), F.col("found.best_score")
-    return rows.select("row.*", *[c.alias(name) for c, name in zip(new, names)])
+    for index in indices_of(items, threshold=threshold, overlap=overlap, max_chars=max_chars, **item_columns):
+        if not index.ids:
+            continue
+        one = judged(index)(col(text_col))
+        if before is None:
+            rows = rows.withColumn(found, one)
+        else:  # a table between parts: a worker then holds one index at a time
+            rows = cut(rows, "part").withColumn(more, one)
+            both = F.struct(F.array_sort(F.array_union(F.col(found)["items"], F.col(more)["items"])).alias("items"), F.greatest(F.col(found)["best_score"], F.col(more)["best_score"]).alias("best_score"))
+            rows = rows.withColumn(found, both).drop(more)
+        before = index
+    if before is None:
+        rows = rows.withColumn(found, nothing)
+    new = F.size(F.col(found)["items"]) > 0, F.col(found)["items"], F.col(found)["best_score"]
+    return rows.select(*map(col, kept), *[c.alias(name) for c, name in zip(new, names)])
