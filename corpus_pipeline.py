@@ -6,12 +6,12 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork import bitset
 from gleanwork.llm import decontam, langid, linededup, packing, simhash
-from gleanwork.llm.common import SPACES, cut, free_names, table
+from gleanwork.llm.common import SPACES, col, cut, drop_cut, free_names, table
 from gleanwork.llm.queries import tokenizer_path
 
 #: A text's regression value for its language, from -1 to 1 mapped to 0 to 1, that rejects it.
@@ -22,6 +22,10 @@ LEAST_KNOWN = 0.6
 NEAR_SIMILARITY = 0.8
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    return [col(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: no text, no letter, or like none of the learned languages.
 
@@ -30,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lang, score, known = free_names(docs, "lang_pred", "score", "known")
     found = langid.identify(docs, model := langid.train(docs), names=(lang, score), known=known)
     keep = (F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(known) >= LEAST_KNOWN) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.filter(keep).select(docs.columns)
+    return found.filter(keep).select(columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     emptied = (F.col(n_removed) > 0) & (F.translate("text", SPACES, "") == "")
     found = found.filter(~F.coalesce(emptied, F.lit(False)))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", F.when(F.col(n_removed) > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
+    return found.withColumn("n_chars", F.when(F.col(n_removed) > 0, length).otherwise(F.col("n_chars"))).select(columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +58,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = bitset.build(gone, at, linededup.FILTER_BITS)
     # Only documents that may be among those that go take part in the join.
     maybe = F.coalesce(bitset.has(chosen, at), F.lit(False))
-    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(docs.columns))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(columns(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     names = tuple(free_names(docs, "contaminated", "items", "best_score"))
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), names=names)
-    return found.filter(~F.col(names[0])).select(docs.columns)
+    return found.filter(~F.col(names[0])).select(columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
