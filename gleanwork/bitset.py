@@ -22,6 +22,11 @@ def checked_bits(bits: int) -> int:
     return -(-bits // BLOCK) * BLOCK
 
 
+def fitting(table: DataFrame, most: int) -> int:
+    """Bits for the rows of a written table: about sixteen to thirty-two for each, a power of two, at most `most`."""
+    return min(most, 1 << max(17, (16 * table.count()).bit_length()))
+
+
 def build(df: DataFrame, positions: Column, bits: int) -> DataFrame:
     """A table of one row and one column, blocks: array<array<long>>, with the bits at the given positions (longs in [0, bits); null: none)."""
     bits = checked_bits(bits)
