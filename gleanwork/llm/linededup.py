@@ -85,7 +85,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
     key, pair = F.struct("id", "line"), ["x_id", "x_line", "y_id", "y_line"]
-    at_line = F.pmod(F.xxhash64("id", "line"), F.lit(filter_bits))
+    at_line = lambda bits: F.pmod(F.xxhash64("id", "line"), F.lit(bits))
     least_overlap = lambda a, b: F.ceil((a + b) * num / F.lit(num + den))
 
     # Lines with the same text: all but the first go, and take no further part.
@@ -95,10 +95,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = cut(hashes.join(groups.hint("merge"), ["h", "h2"]).filter(key > F.col("first")).select("id", "line"), "copies")
     gone = [copies]
     # Bitsets tell them without a join: what is in the first and not in the second is a copy. Some copies may stay, no other line goes.
-    first = bitset.build(copies, at_line, filter_bits)
-    mistaken = hashes.select("id", "line").filter(bitset.has(first, at_line)).join(copies, ["id", "line"], "left_anti")
-    second = bitset.build(mistaken, at_line, filter_bits)
-    different = every.filter(~bitset.has(first, at_line) | bitset.has(second, at_line))
+    bits = bitset.fitting(copies, filter_bits)
+    first = bitset.build(copies, at_line(bits), bits)
+    mistaken = hashes.select("id", "line").filter(bitset.has(first, at_line(bits))).join(copies, ["id", "line"], "left_anti")
+    second = bitset.build(mistaken, at_line(bits), bits)
+    different = every.filter(~bitset.has(first, at_line(bits)) | bitset.has(second, at_line(bits)))
 
     n = F.size("toks")
     ranks = rarity(docs.select(plain(col(text_col)).alias("text")), "text", buckets)
@@ -128,8 +129,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(pairs: DataFrame) -> DataFrame:
         """(id, line) of the later lines of those pairs that really are similar, by their words."""
         wanted = cut(pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).union(pairs.select("y_id", "y_line")).distinct(), "wanted")
-        at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
-        chosen = bitset.build(wanted, at(F.col("id")), filter_bits)
+        bits = bitset.fitting(wanted, filter_bits)
+        at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+        chosen = bitset.build(wanted, at(F.col("id")), bits)
         texts = _lines(docs.filter(bitset.has(chosen, at(col(id_col)))), id_col, text_col).join(wanted, ["id", "line"], "left_semi")
         words = cut(texts.select("id", "line", F.array_remove(F.array_distinct(F.split("text", " ")), "").alias("words")), "words")
         x, y = (words.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")) for s in "xy")
@@ -156,10 +158,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Then all prefixes: the longer line of a pair looks with its prefix for t, the shorter one is found by
     # the shorter prefix for 2 t / (1 + t) of its tokens. The later of the two must not be settled yet.
-    chosen = bitset.build(settled, at_line, filter_bits)
-    maybe = lines.filter(bitset.has(chosen, at_line)).join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
+    bits = bitset.fitting(settled, filter_bits)
+    chosen = bitset.build(settled, at_line(bits), bits)
+    maybe = lines.filter(bitset.has(chosen, at_line(bits))).join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
     payload = ["id", "line", "n", "both", "odd"]
-    flagged = lines.filter(~bitset.has(chosen, at_line)).select(*payload, "prefix", F.lit(0).alias("settled")).union(maybe.select(*payload, "prefix", F.coalesce("settled", F.lit(0))))
+    flagged = lines.filter(~bitset.has(chosen, at_line(bits))).select(*payload, "prefix", F.lit(0).alias("settled")).union(maybe.select(*payload, "prefix", F.coalesce("settled", F.lit(0))))
 
     def entries(s: str, tokens: Column) -> DataFrame:
         """A row per token; n, the token's place and the mark of settled lines share a column."""
@@ -213,8 +216,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # By document, for those that lose a line: which numbers go.
     gone = cut(lines.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
     drop_cut(lines)
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
-    chosen = bitset.build(gone, at(F.col("id")), filter_bits)
+    bits = bitset.fitting(gone, filter_bits)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    chosen = bitset.build(gone, at(F.col("id")), bits)
     kept = others(docs, *names)
     key, text, lost, split, edges, left = free_names(docs, "key_", "text_", "gone_", "lines_", "edges_", "left_")
     base = docs.select(*map(col, kept), col(id_col).alias(key), col(text_col).alias(text))
