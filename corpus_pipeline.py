@@ -54,8 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = simhash.simhash_dedup(docs, shingle=5, similarity=NEAR_SIMILARITY)
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(linededup.FILTER_BITS))
-    chosen = bitset.build(gone, at, linededup.FILTER_BITS)
+    bits = bitset.fitting(gone, linededup.FILTER_BITS)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    chosen = bitset.build(gone, at, bits)
     # Only documents that may be among those that go take part in the join.
     maybe = F.coalesce(bitset.has(chosen, at), F.lit(False))
     return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(columns(docs)))
