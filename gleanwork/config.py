@@ -11,7 +11,7 @@ class Options:
     # Crawl
     allowed_hosts: tuple[str, ...] = ("example.com", "example.org")
     start_urls: tuple[str, ...] = ()
-    max_pages: int = 1_000_000
+    max_pages: int | None = 1_000_000  # None: all
     max_depth: int = 10
     requests_per_second: float = 2.0
     timeout_s: float = 30.0
@@ -46,5 +46,10 @@ class Options:
         for f in fields(cls):
             if (text := env.get(f"{prefix}{f.name.upper()}")) is not None:
                 old = getattr(out, f.name)
-                out = replace(out, **{f.name: tuple(x.strip() for x in text.split(",") if x.strip()) if isinstance(old, tuple) else type(old)(text)})
+                out = replace(out, **{f.name: tuple(x.strip() for x in text.split(",") if x.strip()) if isinstance(old, tuple) else _as(type(old), text)})
         return out
+
+
+def _as(kind: type, text: str):
+    """The text as a value of this kind; a number that is empty is None."""
+    return None if kind is not str and not text.strip() else kind(text)

@@ -53,13 +53,18 @@ def usable_th_en(text: Column, min_len: int = 150, min_prob: float = 0.70, detec
 
 
 def md_has_table(text: Column) -> Column:
-    """An HTML table tag, or a Markdown table row followed by a row of dashes."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"), strip)
+    """An HTML table tag, or a Markdown table row followed by a row of dashes.
+
+    Lines are looked at only where the text has a bar and a dash at all, and cells only of lines that can be a row of dashes.
+    """
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"), strip)
     cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), strip), lambda c: c != "")
     rule = lambda c: c.rlike(r"^[-: ]+$") & (F.length(F.translate(c, ": ", "")) >= 3)
-    is_rule = lambda line: (F.size(cells(line)) > 0) & F.forall(cells(line), rule)
+    dashes = lambda line: F.exists(F.array(cells(line)), lambda cs: (F.size(cs) > 0) & F.forall(cs, rule))
+    is_rule = lambda line: F.contains(line, F.lit("-")) & ~line.rlike(r"(?U)[^-:|\s\x1c-\x1f]") & dashes(line)
     next_to = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: a.startswith("|") & a.endswith("|") & F.coalesce(is_rule(b), F.lit(False)))
-    return F.coalesce(F.contains(F.lower(text), F.lit("<table")) | F.exists(next_to, lambda x: x), F.lit(False))
+    some = F.contains(text, F.lit("|")) & F.contains(text, F.lit("-"))
+    return F.coalesce(F.contains(F.lower(text), F.lit("<table")), F.lit(False)) | F.coalesce(F.when(some, F.exists(next_to, lambda x: x)), F.lit(False))
 
 
 def looks_structured(text: Column) -> Column:

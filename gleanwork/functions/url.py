@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "_gl", "ref")
 #: What an href may not start with.
 UNFOLLOWED = ("#", "mailto:", "tel:", "javascript:", "data:")
+#: What PDFs, pictures and pages are told by.
 PDF = r"(?i)\.pdf(?:[?#].*)?$"
 IMAGE = r"(?i)\.(?:png|jpe?g|webp|gif|bmp|tiff?)(?:[?#].*)?$"
 HTML_TYPES = ("", "text/html", "application/xhtml+xml", "text/plain")

@@ -14,7 +14,7 @@ from ..functions import ocr as O
 from ..functions import text as T
 from ..functions import url as U
 from ..sources.extract import extract_html
-from .dedup import dedup_incremental
+from .dedup import dedup_incremental, known_hashes
 
 
 def html_documents(pages: DataFrame, captured_at: Column, url: str = "url", html: str = "html", extract: Callable[[Column], Column] = extract_html) -> DataFrame:
@@ -27,10 +27,15 @@ def html_documents(pages: DataFrame, captured_at: Column, url: str = "url", html
     )
 
 
-def image_documents(images: DataFrame, captured_at: Column, **gate) -> DataFrame:
-    """Infographics as DOCUMENT rows without dedup. images: url, page, alt, src_hint; img_h, img_w, boxes at low resolution; and boxes at high resolution as `read`."""
+def gate(**options) -> Column:
+    """Whether a picture (img_h, img_w, boxes, alt, src_hint) is an infographic."""
+    return O.is_infographic(F.col("img_h"), F.col("img_w"), F.col("boxes"), F.col("alt"), F.col("src_hint"), **options)
+
+
+def image_documents(images: DataFrame, captured_at: Column, **options) -> DataFrame:
+    """Infographics as DOCUMENT rows without dedup. images: url, page, alt, src_hint; img_h, img_w; boxes as read for the gate; and as read for the text, `read`, in the same coordinates."""
     text = T.strip(O.joined_text(F.col("read")))
-    rows = images.filter(O.is_infographic(F.col("img_h"), F.col("img_w"), F.col("boxes"), F.col("alt"), F.col("src_hint"), **gate)).withColumn("text_full", text).filter("text_full <> ''")
+    rows = images.filter(gate(**options)).withColumn("text_full", text).filter("text_full <> ''")
     hash_ = F.sha1("text_full")
     ratio = O.area_ratio(F.col("read"), F.col("img_h"), F.col("img_w"))
     return rows.select(
@@ -81,5 +86,10 @@ def corpus(parts: list[DataFrame], seen: DataFrame | None = None, scope: str = "
     return dedup_incremental(out, seen, "content_hash", order, "source_type" if scope == "per_type" else None)
 
 
+def known(earlier: DataFrame) -> DataFrame:
+    """content_hash of earlier documents, for corpus()."""
+    return known_hashes(earlier)
+
+
 def domain(url: Column) -> Column:
     return F.coalesce(U.host(url), F.lit(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -10,11 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schema as S
-from ..storage import cut, new_path
-from .dedup import not_seen
+from ..storage import cut, exists
+from .dedup import keep_first_wide, not_seen
 
 
 class Embedder(Protocol):
@@ -52,12 +52,39 @@ def embed(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Column:
     return run(text)
 
 
+#: How similarities of the vectors are meant; the table says so itself, in the metadata of its embedding column.
+METRIC = "cosine"
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The table, or an empty one if there is none yet."""
-    try:
-        return spark.read.schema(S.VECTOR).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], S.VECTOR)
+    return spark.read.schema(S.VECTOR).parquet(path) if exists(spark, path) else spark.createDataFrame([], S.VECTOR)
+
+
+def declared_metric(spark: SparkSession, path: str) -> str | None:
+    """The metric that the table at path was made for; null if it doesn't say."""
+    return spark.read.parquet(path).schema["embedding"].metadata.get("metric")
+
+
+def _declared(vectors: DataFrame, metric: str = METRIC) -> DataFrame:
+    return vectors.withColumn("embedding", F.col("embedding").alias("embedding", metadata={"metric": metric}))
+
+
+def load(spark: SparkSession, path: str, records: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> dict[str, int]:
+    """Embeds the records (EMBEDDABLE) whose ids the table at path lacks and appends them; of equal new ids, one.
+
+    Returns how many were added, and how many rows the table then has. A table that was made for
+    another metric is an error.
+    """
+    old = read_vectors(spark, path)
+    if exists(spark, path) and (other := declared_metric(spark, path)) not in (None, METRIC):
+        raise ValueError(f"the table at {path} is for {other}, not {METRIC}")
+    once = keep_first_wide(records.select("id", "text", "metadata"), "id", ["text", "metadata"])
+    fresh = cut(new_vectors(once, old, make), "fresh")
+    added, before = fresh.count(), old.count()
+    if added or not exists(spark, path):
+        _declared(fresh).write.mode("append").parquet(path)
+    return {"added": added, "total": before + added}
 
 
 def new_vectors(records: DataFrame, vectors: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
@@ -85,19 +112,26 @@ def count_source(vectors: DataFrame, url: str) -> int:
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Puts df in place of the table at path, which df may read: it is written aside first, then moved."""
+    """Puts df in place of the table at path, which df may read.
+
+    It is written beside the table first. The old table is then moved aside, the new one moved in, and
+    only then the old one deleted; if the second move fails, the old one is moved back.
+    """
     spark = df.sparkSession
-    aside = new_path(spark, "rewrite")
-    df.write.parquet(aside)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(aside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri() == fs.getUri():
-        fs.delete(old, True)
-        fs.mkdirs(old.getParent())
-        if fs.rename(new, old):
-            return
-    spark.read.schema(df.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    mark = uuid.uuid4().hex
+    at, fresh, aside = (hadoop.Path(path.rstrip("/") + x) for x in ("", f".new-{mark}", f".old-{mark}"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _declared(df).write.parquet(fresh.toString())
+    there = fs.exists(at)
+    if there and not fs.rename(at, aside):
+        raise OSError(f"{path} can't be moved aside; its replacement is at {fresh}")
+    if not fs.rename(fresh, at):
+        if there:
+            fs.rename(aside, at)
+        raise OSError(f"{path} can't be replaced; its replacement is at {fresh}")
+    if there:
+        fs.delete(aside, True)
 
 
 def delete_source(spark: SparkSession, path: str, url: str) -> int:

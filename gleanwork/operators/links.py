@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.url import IMAGE, PDF, UNFOLLOWED
 
-FOUND = "links array<string>, pdfs array<string>, images array<struct<url:string,alt:string,src_hint:string>>, canonical string, title string"
+FOUND = "links array<string>, pdfs array<string>, images array<struct<url:string,alt:string,src_hint:string>>, canonical string, title string, error string"
 _PDF, _IMAGE = re.compile(PDF), re.compile(IMAGE)
 
 
@@ -28,64 +28,38 @@ def title(html: Column) -> Column:
 
 
 class _Page(HTMLParser):
-    """What one document refers to, in order of appearance."""
+    """What one document refers to, in order of appearance: (kind, href, alt). References are resolved at the end, when the base is known."""
 
-    def __init__(self, base: str, hosts: tuple[str, ...] | None) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.hosts = base, hosts
-        self.links: dict[str, None] = {}
-        self.pdfs: dict[str, None] = {}
-        self.late_pdfs: dict[str, None] = {}
-        self.sources: tuple[list, ...] = ([], [], [])  # images of img tags, of picture sources, of styles
+        self.references: list[tuple[str, str, str]] = []
         self.canonical: str | None = None
         self.title: str | None = None
         self._in_title, self._pictures = False, 0
 
-    def resolve(self, href: str | None) -> str | None:
-        href = (href or "").strip()
-        if not href or href.startswith(UNFOLLOWED):
-            return None
-        try:
-            url = urljoin(self.base, href)
-            name = urlsplit(url).hostname or ""
-        except ValueError:
-            return None
-        return url if self.hosts is None or any(name == h or name.endswith(f".{h}") for h in self.hosts) else None
-
-    def image(self, where: int, src: str | None, alt: str) -> None:
-        url = self.resolve(src)
-        if url and _IMAGE.search(url):
-            self.sources[where].append((urldefrag(url)[0], alt, src or ""))
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in reversed(attrs)}
-        alt = a.get("alt", "").strip()
+        refer = lambda kind, href, alt="": self.references.append((kind, href, alt))
         candidates = [p.strip().split(" ")[0] for p in a.get("srcset", "").split(",")]
-        if tag == "a" and (url := self.resolve(a.get("href"))):
-            self.links[urldefrag(url)[0]] = None
-            if _PDF.search(url):
-                self.pdfs[url] = None
+        if tag == "a":
+            refer("link", a.get("href", ""))
         elif tag == "img":
-            for src in (a.get("src"), *candidates):
-                self.image(0, src, alt)
+            for src in (a.get("src", ""), *candidates):
+                refer("img", src, a.get("alt", "").strip())
         elif tag == "picture":
             self._pictures += 1
         elif tag == "source" and self._pictures:
             for src in candidates:
-                self.image(1, src, "")
+                refer("source", src)
         elif tag == "link" and self.canonical is None and "canonical" in a.get("rel", "").lower().split():
-            try:
-                self.canonical = urljoin(self.base, a["href"].strip()) if a.get("href", "").strip() else None
-            except ValueError:
-                pass
+            self.canonical = a.get("href", "").strip() or None
         elif tag == "title":
             self._in_title = self.title is None
         style = a.get("style", "")
         if "background-image" in style and (found := re.search(r"url\(([^)]+)\)", style)):
-            self.image(2, found[1].strip(" '\""), "")
+            refer("style", found[1].strip(" '\""))
         for name in ("data-href", "data-src"):
-            if (url := self.resolve(a.get(name))) and _PDF.search(url):
-                self.late_pdfs[url] = None
+            refer("data", a.get(name, ""))
 
     def handle_endtag(self, tag: str) -> None:
         self._in_title = self._in_title and tag != "title"
@@ -95,32 +69,57 @@ class _Page(HTMLParser):
         if self._in_title:
             self.title = (self.title or "") + data
 
-    def found(self) -> dict:
-        images = {x[0]: x for group in reversed(self.sources) for x in reversed(group)}
-        ordered = dict.fromkeys(x[0] for group in self.sources for x in group)
-        return {
-            "links": [*self.links], "pdfs": [*(self.pdfs | self.late_pdfs)], "images": [dict(zip(("url", "alt", "src_hint"), images[u])) for u in ordered],
-            "canonical": self.canonical, "title": (self.title or "").strip() or None,
-        }
+
+def _resolved(base: str, href: str, hosts: tuple[str, ...] | None) -> str | None:
+    """href against base; null if it leads nowhere, can't be resolved, or to a host that isn't allowed."""
+    href = href.strip()
+    if not href or href.startswith(UNFOLLOWED):
+        return None
+    try:
+        url = urljoin(base, href)
+        name = urlsplit(url).hostname or ""
+    except ValueError:
+        return None
+    return url if hosts is None or any(name == h or name.endswith(f".{h}") for h in hosts) else None
 
 
 def parse_page(html: str | None, base: str | None, hosts: tuple[str, ...] | None = None) -> dict:
-    page = _Page(base or "", hosts)
-    page.feed(html or "")
-    page.close()
-    return page.found()
+    """What the page refers to, see discover()."""
+    page, error, base, canonical = _Page(), None, base or "", None
+    try:
+        page.feed(html or "")
+        page.close()
+    except (AssertionError, ValueError, RecursionError) as e:  # odd markup, such as <![x[y]]>: what came before it counts
+        error = type(e).__name__
+    if page.canonical:
+        try:
+            base = canonical = urljoin(base, page.canonical)
+        except ValueError:
+            pass
+    found = [(kind, url, href, alt) for kind, href, alt in page.references if (url := _resolved(base, href, hosts))]
+    links = dict.fromkeys(urldefrag(url)[0] for kind, url, _, _ in found if kind == "link")
+    pdfs = dict.fromkeys(url for late in (False, True) for kind, url, _, _ in found if kind == ("data" if late else "link") and _PDF.search(url))
+    images: dict[str, dict] = {}
+    for wanted in ("img", "source", "style"):
+        for kind, url, href, alt in found:
+            if kind == wanted and _IMAGE.search(url):
+                url = urldefrag(url)[0]
+                images.setdefault(url, {"url": url, "alt": alt, "src_hint": href})
+    return {"links": [*links], "pdfs": [*pdfs], "images": [*images.values()], "canonical": canonical, "title": (page.title or "").strip() or None, "error": error}
 
 
 def discover(pages: DataFrame, html: str = "html", base: str = "url", hosts: tuple[str, ...] | None = None) -> DataFrame:
-    """pages with `found`: links, pdfs and images (each url once, links and images without fragments), the declared canonical url, the title.
+    """pages with `found`: links, pdfs and images (each url once, links and images without fragments), the declared canonical url, the title, and the parser's error.
 
-    hosts: hosts that are allowed, with their subdomains; all if None. Links to PDFs are in both lists.
+    References are resolved against the declared canonical url, else the page's own. Markup that the
+    parser gives up on costs what follows it on that page, and `error` says so. hosts: hosts that are
+    allowed, with their subdomains; all if None. Links to PDFs are in both lists.
     """
 
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, bases in batches:
-            yield pd.DataFrame([parse_page(t, b, hosts) for t, b in zip(texts, bases)], columns=["links", "pdfs", "images", "canonical", "title"])
+            yield pd.DataFrame([parse_page(t, b, hosts) for t, b in zip(texts, bases)], columns=["links", "pdfs", "images", "canonical", "title", "error"])
 
     return pages.withColumn("found", run(F.col(html), F.col(base)))
 

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..storage import cut
 
 
 def breakdown(df: DataFrame, by: Column, name: str = "key", digits: int = 2) -> DataFrame:
-    """(name, n, share_pct), and a row named total. Shares are of all rows; a null key is named unknown.
+    """(name, n, share_pct, kind): a row per key, one with kind `unknown` for null keys, and one with kind `total`. Shares are of all rows.
 
-    One partial aggregation: the total row comes from the groups, not from another pass.
+    The names of those two rows are their kinds; a key of that name has kind `key`. One aggregation by key;
+    its groups, a row each, are added up for the total.
     """
-    groups = df.groupBy(F.coalesce(by, F.lit("unknown")).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    both = groups.rollup(name).agg(F.sum("n").alias("n"), F.grouping(name).alias("g"))
-    total = F.max(F.when(F.col("g") == 1, F.col("n"))).over(Window.partitionBy(F.lit(1)))
-    return both.select(F.when(F.col("g") == 1, "total").otherwise(F.col(name)).alias(name), "n", F.round(100.0 * F.col("n") / total, digits).alias("share_pct"))
+    groups = cut(df.groupBy(by.alias(name)).agg(F.count(F.lit(1)).alias("n")), "groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    kind = F.when(F.col(name).isNull(), "unknown").otherwise("key")
+    rows = groups.select(F.coalesce(F.col(name).cast("string"), F.lit("unknown")).alias(name), "n", kind.alias("kind"))
+    rows = rows.union(total.select(F.lit("total"), "n", F.lit("total")))
+    share = F.round(100.0 * F.col("n") / F.nullif(total.scalar(), F.lit(0)), digits)
+    return rows.select(name, "n", share.alias("share_pct"), "kind")
 
 
 def totals(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -105,10 +105,13 @@ class _Text(HTMLParser):
 
 
 def plain_html(html: str) -> dict[str, str | None]:
-    """The text outside scripts, styles and navigation, a line per block."""
+    """The text outside scripts, styles and navigation, a line per block; up to markup that the parser gives up on, such as <![x[y]]>."""
     page = _Text()
-    page.feed(html)
-    page.close()
+    try:
+        page.feed(html)
+        page.close()
+    except AssertionError:
+        pass
     lines = (" ".join("".join(x).split()) for x in page.lines)
     return {"text": "\n".join(x for x in lines if x)} | page.meta
 

@@ -35,10 +35,26 @@ def manifest_assets(manifest: DataFrame, kind: str) -> DataFrame:
     return rows.select("url", "path", "page", F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("src_hint", F.lit("")).alias("src_hint"), "ts")
 
 
-def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """rows whose file exists, with its content. files: path and content as the binaryFile source gives them; paths are compared by their ends."""
-    name = lambda c: F.regexp_extract(c, r"([^/\\]+)$", 1)
-    return rows.withColumn("_name", name(F.col("path"))).join(files.select(name(F.col("path")).alias("_name"), "content"), "_name").drop("_name")
+def with_content(rows: DataFrame, files: DataFrame, by_name: bool = False) -> DataFrame:
+    """rows whose file exists, with its content. files: path and content as the binaryFile source gives them.
+
+    A file is a row's if its path ends with the row's path, folders included (schemes and leading dots
+    don't count). by_name: the file's name alone counts, for tables that were moved; names that occur
+    in several folders are an error then.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", ""), r"^(\.?/)+", "")
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    there = files.select(plain(F.col("path")).alias("_file"), "content").withColumn("_name", name(F.col("_file")))
+    wanted = rows.withColumn("_path", plain(F.col("path"))).withColumn("_name", name(F.col("_path")))
+    if by_name:
+        twice = there.groupBy("_name").agg(F.count_distinct("_file").alias("n")).filter("n > 1")
+        if row := twice.first():
+            raise ValueError(f"{row['n']} files are named {row['_name']}")
+        found = wanted.join(there, "_name")
+    else:
+        same = (F.col("_file") == F.col("_path")) | F.col("_file").endswith(F.concat(F.lit("/"), F.col("_path")))
+        found = wanted.join(there, "_name").filter(same)
+    return found.select(*rows.columns, "content")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

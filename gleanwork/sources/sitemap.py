@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators.dedup import not_seen
 from ..storage import cut
 
 #: Where sitemaps are if robots.txt doesn't say.
-DEFAULTS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")
+DEFAULTS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
 CAP = 20_000
 
 
@@ -32,16 +34,19 @@ def locations(xml: Column, hosts: tuple[str, ...] | None = None, cap: int = CAP)
     return F.slice(F.filter(found, lambda u: host_allowed(u, hosts)) if hosts is not None else found, 1, cap)
 
 
-def expand(starts: DataFrame, bodies: DataFrame, hosts: tuple[str, ...] | None = None, max_rounds: int = 100) -> DataFrame:
-    """(url): the pages that sitemaps lead to, nested sitemaps (.xml) being followed, each once. bodies: url, body."""
-    waiting = cut(starts.select("url").filter(F.col("url").endswith(".xml")).distinct(), "sitemaps")
-    leaves = starts.select("url").filter(~F.col("url").endswith(".xml"))
+def expand(starts: DataFrame, bodies: DataFrame | Callable[[DataFrame], DataFrame], hosts: tuple[str, ...] | None = None, cap: int = CAP) -> DataFrame:
+    """(url): the pages that sitemaps lead to, nested sitemaps (.xml) being followed, each once. bodies: url, body, or what fetches these for urls; cap: see locations().
+
+    Ends when a round finds no new sitemap, which it does at last, as each is followed once.
+    """
+    nested = F.lower("url").endswith(".xml")
+    waiting = cut(starts.select("url").filter(nested).distinct(), "sitemaps")
+    leaves = starts.select("url").filter(~nested)
     known = waiting
-    for _ in range(max_rounds):
-        found = cut(waiting.join(bodies, "url").select(F.explode(locations(F.col("body"), hosts)).alias("url")), "locations")
-        leaves = leaves.union(found.filter(~F.col("url").endswith(".xml")))
-        waiting = cut(not_seen(found.filter(F.col("url").endswith(".xml")).distinct(), known, "url"), "sitemaps")
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():
+        read = bodies(waiting) if callable(bodies) else waiting.join(bodies, "url")
+        found = cut(read.select(F.explode(locations(F.col("body"), hosts, cap)).alias("url")), "locations")
+        leaves = leaves.union(found.filter(~nested))
+        waiting = cut(not_seen(found.filter(nested).distinct(), known, "url"), "sitemaps")
         known = known.union(waiting)
     return leaves.distinct()

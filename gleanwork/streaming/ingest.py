@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.dedup import dedup_incremental, known_hashes
+from ..storage import exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -25,12 +25,10 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, key: str = "content_has
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            there = spark.read.option("basePath", out).parquet(out)
-            there = there.filter(f"batch <> {number}")
+        seen = None
+        if exists(spark, f"{out}/batch=*"):
+            there = spark.read.option("basePath", out).parquet(out).filter(f"batch <> {number}")
             seen = known_hashes(there.withColumnRenamed(key, "content_hash")).withColumnRenamed("content_hash", key)
-        except AnalysisException:  # nothing is there yet
-            seen = None
         fresh = dedup_incremental(transform(batch), seen, key, order)
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 

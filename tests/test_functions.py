@@ -62,7 +62,7 @@ def test_text_gates(spark):
     good = "ภาษาไทย and English. " * 10
     assert mapped(spark, [good, good + "�", "é" * 200, "x" * 149, "", None], lambda c: T.qc_ok(c, 150)) == [True, False, False, False, False, False]
     assert mapped(spark, ["# Head", "a\r# x", "<Table >", "| a |\n| --- |", "| a |", "a\nb\nc\nd", "a\nb", None], T.looks_structured) == [True, False, True, True, False, True, False, False]
-    assert mapped(spark, ["| a |\r\n|:---|", "| a |\n|--|", "x <TABLE", None], T.md_has_table) == [True, False, True, False]
+    assert mapped(spark, ["| a |\r\n|:---|", "| a |\n|--|", "x <TABLE", None, "| a |\n\u00a0|- - -|", "| a |\n|---|x|", "|\n-", "| a |\ntext\n|---|"], T.md_has_table) == [True, False, True, False, True, False, False, False]
     assert mapped(spark, ["ไทย" * 60, "english " * 30, "это " * 60, None], T.usable_th_en) == [True, True, False, False]
     assert mapped(spark, ["x" * 280, "x" * 281], T.preview) == ["x" * 280, "x" * 280 + "…"]
     assert mapped(spark, ["x"], lambda c: T.first_text(F.lit(""), F.lit(None), c)) == ["x"]
