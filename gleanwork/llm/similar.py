@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .. import bitset
+from .common import col, cut, drop_cut
 from .components import components
 from .simhash import digests, fingerprint
 
+FILTER_BITS = 1 << 26
 SAMPLE = 8_000  # documents in which frequent shingles are looked for
 FREQUENT, MOST_FREQUENT = 6, 200_000  # documents of the sample that make a shingle frequent; so many are set last
 
@@ -80,14 +82,19 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str, shingle: int, sim
         for batch in batches:
             yield pd.Series([shingle_set(t, shingle) for t in batch])
 
-    wanted = pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct()
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(wanted, "t", "left_semi")
+    wanted = cut(pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct(), "wanted")
+    # Only texts that may be wanted are shuffled.
+    bits = bitset.fitting(wanted, FILTER_BITS)
+    at = F.pmod("t", F.lit(bits))
+    chosen = bitset.build(wanted, at, bits)
+    texts = docs.select(F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text")).filter(bitset.has(chosen, at)).join(wanted.hint("merge"), "t", "left_semi")
     held = cut(texts.groupBy("t").agg(F.any_value("text").alias("text")).select("t", sets(F.col("text")).alias("s")), "sets")
     both = pairs.join(held.toDF("ta", "sa"), "ta").join(held.toDF("tb", "sb"), "tb")
     shared = F.size(F.array_intersect("sa", "sb"))
     close = shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9
     out = cut(both.filter(close).select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct(), "similar")
-    drop_cut(held)
+    for old in (held, wanted, chosen):
+        drop_cut(old)
     return out
 
 
@@ -97,12 +104,20 @@ def similar_links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_col: s
     rows: prefixes(docs, ...), written.
     """
     tokens = rows.select("t", "f", "n", F.posexplode("prefix").alias("i", "s"))
-    least = cut(tokens.groupBy("s").agg(F.min("t").alias("p"), F.max("t").alias("q")).filter("p <> q").select("s", "p"), "least")
-    held = cut(tokens.join(least, "s").select("s", "t", "f", "n", "i", "p").distinct(), "held")
+    # Most shingles are one text's alone. Which may not be is found from 32 bits of their hashes, and kept as a bitset.
+    small = tokens.select(F.hash("s").alias("s"), "t")
+    common = cut(small.groupBy("s").agg(F.min("t").alias("p"), F.max("t").alias("q")).filter("p <> q").select("s"), "common")
+    bits = bitset.fitting(common, FILTER_BITS)
+    chosen = bitset.build(common, F.pmod(F.xxhash64("s"), F.lit(bits)), bits)
+    shared = tokens.filter(bitset.has(chosen, F.pmod(F.xxhash64(F.hash("s")), F.lit(bits))))
+    shared = cut(shared.distinct(), "tokens")
+    least = shared.groupBy("s").agg(F.min("t").alias("p"), F.max("t").alias("q")).filter("p <> q").select("s", "p")
+    held = cut(shared.join(least.hint("merge"), "s").select("s", "t", "f", "n", "i", "p"), "held")
+    for old in (common, chosen, shared):
+        drop_cut(old)
     me = F.struct("t", "f", "n", "i")
     pivots = held.filter("t = p").select("s", me.alias("p"))
     shared = cut(held.select("s", me.alias("me")).join(pivots, "s"), "shared")
-    drop_cut(least)
     drop_cut(held)
 
     def may(x: str, y: str) -> Column:
