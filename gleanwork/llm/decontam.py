@@ -4,8 +4,8 @@ Scores are shares of what an item must reach, so that one threshold fits all ite
 index is searched with block-max WAND: blocks are ranges of items, the same for all terms. A passage
 is left if the largest impacts of its terms can't reach the threshold together. Else only blocks
 count in which a term occurs that can carry an item over the threshold with those of smaller
-impact; of these, blocks are left whose own largest impacts can't reach it; in the others, cursors
-over the terms' postings skip to pivots. All items at or above the threshold are retrieved, and the overlap of their question and of their
+impact; of these, blocks are left whose own largest impacts can't reach it (for all passages of a text
+at once); in the others, cursors over the terms' postings skip to pivots. All items at or above the threshold are retrieved, and the overlap of their question and of their
 answer with the passage is verified.
 """
 
@@ -28,6 +28,8 @@ from .common import col, cut, free_names, others
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 4
+SMALL = 0.4
+DENSE = 1 << 16  # passages times blocks up to which bounds are added up in a plain array
 MAX_CHARS = 4 << 20  # of the items of a part: its index is broadcast, some 60 bytes a character in a worker
 WORD = re.compile(r"\w+")
 
@@ -88,40 +90,66 @@ class Index:
         self.postings = [([i for i, _ in p], [v for _, v in p]) for p in postings]
         self.best = np.array([max(v) for _, v in self.postings]) if postings else np.zeros(0)
         self.block = block
-        self.block_best = []
+        # By term, the blocks that it occurs in and its largest impact there: one array of each, and where a term's begin.
+        found = []
         for at, v in self.postings:
             b = np.array(at) // block
             edge = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            self.block_best.append((b[edge], np.maximum.reduceat(np.array(v), edge)))
+            found.append((b[edge], np.maximum.reduceat(np.array(v), edge)))
+        self.blocks = -(-len(items) // block)
+        self.sizes = np.array([len(b) for b, _ in found], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.in_block = np.concatenate([b for b, _ in found]) if found else np.zeros(0, np.int64)
+        self.most = np.concatenate([m for _, m in found]) if found else np.zeros(0)
+        self.places = np.repeat(np.arange(len(found)), self.sizes) * self.blocks + self.in_block  # ascending
+
+    def pivots(self, passage: np.ndarray, term: np.ndarray, threshold: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) for all blocks whose bound reaches the threshold, given the different terms of passages, in order of passages.
+
+        In each passage, terms of small largest impacts that don't reach SMALL of the threshold together can't carry
+        an item: only blocks that the others occur in are looked at, first with those others' block maxima and the
+        rest's largest impacts at all, then with all block maxima. No step looks at every block.
+        """
+        best = self.best[term]
+        order = np.lexsort((best, passage))
+        passage, term, best = passage[order], term[order], best[order]
+        new = np.append(True, passage[1:] != passage[:-1]) if len(passage) else np.zeros(0, bool)
+        total = np.cumsum(best)
+        before = (total - best)[new][np.cumsum(new) - 1]
+        can = np.bincount(passage, best) >= threshold - 1e-9
+        carries = (total - before >= SMALL * threshold) & can[passage]
+        if not carries.any():
+            return passage[:0], passage[:0]
+        slack = np.bincount(passage[~carries], best[~carries], int(passage.max()) + 1)
+        p, t = passage[carries], term[carries]
+        size = self.sizes[t]
+        at = np.repeat(self.starts[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys = np.repeat(p, size) * self.blocks + self.in_block[at]
+        if (int(p.max()) + 1) * self.blocks <= DENSE:
+            bound = np.bincount(keys, self.most[at])
+            keys = np.flatnonzero(bound)
+            bound = bound[keys]
+        else:
+            keys, back = np.unique(keys, return_inverse=True)
+            bound = np.bincount(back, self.most[at], len(keys))
+        good = bound + slack[keys // self.blocks] >= threshold - 1e-9
+        keys, bound = keys[good], bound[good]
+        # What the small terms add, of those passages that are left.
+        rest_p, rest_t = passage[~carries], term[~carries]
+        first, last = np.searchsorted(rest_p, keys // self.blocks), np.searchsorted(rest_p, keys // self.blocks, "right")
+        n = last - first
+        which = np.repeat(np.arange(len(keys)), n)
+        t = rest_t[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        wanted = t * self.blocks + (keys % self.blocks)[which]
+        place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+        bound += np.bincount(which, np.where(self.places[place] == wanted, self.most[place], 0.0), len(keys))
+        keys = keys[bound >= threshold - 1e-9]
+        return keys // self.blocks, keys % self.blocks
 
     def search(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
-        """All (item's number, score) with a score of at least the threshold, for a passage's different terms.
-
-        Terms are taken by their largest impact. Those of the smallest, which together don't reach the threshold, can't
-        carry an item: only blocks that the others occur in are looked at. Block maxima are added term by term,
-        and a block goes as soon as what is left can't lift it to the threshold.
-        """
-        terms = sorted(terms, key=lambda t: -self.best[t])
-        best = self.best[terms]
-        left = np.append(np.cumsum(best[::-1])[::-1], 0.0)  # of this term and those behind it
-        carry = int((left[:-1] >= threshold - 1e-9).sum())
-        if not carry:
-            return []
-        blocks = np.unique(np.concatenate([self.block_best[t][0] for t in terms[:carry]]))
-        bound = np.zeros(len(blocks))
-        for n, t in enumerate(terms):
-            there, most = self.block_best[t]
-            at = np.minimum(np.searchsorted(there, blocks), len(there) - 1)
-            bound += np.where(there[at] == blocks, most[at], 0.0)
-            if n % 8 == 7 or n == len(terms) - 1:
-                good = bound + left[n + 1] >= threshold - 1e-9
-                blocks, bound = blocks[good], bound[good]
-                if not len(blocks):
-                    return []
-        out = []
-        for b in blocks.tolist():
-            out += self._wand(terms, b * self.block, (b + 1) * self.block, threshold)
-        return out
+        """All (item's number, score) with a score of at least the threshold, for a passage's different terms."""
+        _, blocks = self.pivots(np.zeros(len(terms), np.int64), np.array(terms, np.int64), threshold)
+        return [x for b in blocks.tolist() for x in self._wand(terms, b * self.block, (b + 1) * self.block, threshold)]
 
     def _wand(self, terms: list[int], low: int, high: int, threshold: float) -> list[tuple[int, float]]:
         """WAND within one block, whose largest impacts bound the terms."""
@@ -174,17 +202,14 @@ class Index:
         first = at // step
         keys = np.unique(np.concatenate([first * v + known[at], np.maximum(first - 1, 0) * v + known[at]]))
         passage, term = keys // v, keys % v
-        bound = np.bincount(passage, self.best[term])
         out: dict[int, float] = {}
-        for p in np.flatnonzero(bound >= 1 - 1e-9).tolist():
+        before, cache, own = -1, {}, []
+        for p, b in zip(*(x.tolist() for x in self.pivots(passage, term))):
             i, j = np.searchsorted(passage, (p, p + 1)).tolist()
-            found = self.search(term[i:j].tolist())
-            if not found:
-                continue
-            # The sets of the passage's shingles, by length: shorter parts have one of their own length.
-            own = words[p * step : (p + 2) * step]
-            cache: dict[int, set] = {}
-            for k, score in found:
+            for k, score in self._wand(term[i:j].tolist(), b * self.block, (b + 1) * self.block, 1.0):
+                if p != before:
+                    # The sets of the passage's shingles, by length: shorter parts have one of their own length.
+                    before, cache, own = p, {}, words[p * step : (p + 2) * step]
                 if self._held(k, own, cache, self.overlap):
                     out[self.ids[k]] = max(score * self.limits[k], out.get(self.ids[k], 0.0))
         return out
