@@ -27,7 +27,7 @@ from .common import cut
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a sequence
 SMALLEST = 32  # a rest of at most so many tokens is never cut
-CACHE = 500_000  # words in a generation of those whose ids a worker remembers: some 100 MB
+CACHE = 300_000  # words in a generation of those whose ids a worker remembers: some 60 MB
 TOGETHER = 1 << 21  # characters of texts whose new words are learned at once
 HELD = 1 << 20  # ids, or 16 of them a piece without ids, that a worker holds before it hands them on
 END_ID = 1
