@@ -118,5 +118,18 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM w JOIN f USING
 x AS (SELECT d.doc_id, p, word, c.p IS NOT NULL AS gone FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) AS d LEFT JOIN c USING (doc_id, p)),
 k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM x GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
+    "op9_line_dedup": r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, list_distinct([w for w in string_split_regex(lower(ls[i]), '[\x20\x09-\x0D]+') if w <> '']) AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+w AS (SELECT doc_id, i, len(ws) AS n, unnest(ws) AS w FROM l WHERE len(ws) > 0),
+f AS (SELECT w, row_number() OVER (ORDER BY count(*), w) AS rarity FROM w GROUP BY w),
+p AS (SELECT doc_id, i, n, w FROM w JOIN f USING (w) QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY rarity) <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT y.doc_id AS yd, y.i AS yi, x.doc_id AS xd, x.i AS xi FROM p AS x JOIN p AS y ON x.w = y.w AND (x.doc_id, x.i) < (y.doc_id, y.i) AND x.n * 4 <= y.n * 5 AND y.n * 4 <= x.n * 5),
+g AS (SELECT DISTINCT yd AS doc_id, yi AS i FROM c JOIN l AS a ON a.doc_id = xd AND a.i = xi JOIN l AS b ON b.doc_id = yd AND b.i = yi WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (len(a.ws) + len(b.ws))),
+o AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string([ls[i] for i in range(1, len(ls) + 1) if NOT list_contains(gone, i)], chr(10)) END, '')) AS kept_sha256
+FROM t LEFT JOIN o USING (doc_id)
 """,
 }

@@ -542,8 +542,10 @@ def test_line_dedup_of_random_lines(spark):
 # --- 10 -------------------------------------------------------------------------------------------
 
 
-def test_wand_finds_all_above_threshold():
-    """The index's search against the scores of all items."""
+@pytest.mark.parametrize("dense", [0, 1 << 16])
+def test_wand_finds_all_above_threshold(monkeypatch, dense):
+    """The index's search against the scores of all items, with bounds in a plain array and without."""
+    monkeypatch.setattr(decontam, "DENSE", dense)
     r = random.Random(4)
     text = lambda n: " ".join(f"t{int(r.paretovariate(0.6)) % 80}" for _ in range(n))
     items = [(i, text(r.randrange(3, 30)), text(3)) for i in range(90)]
