@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the links, root being the smallest node of its component.
 
     After Kiveris et al. (2014): each step points nodes at the smallest neighbour, until the links
     are stars. Steps are a partial aggregation and a join; each round's links are written to the
-    shared folder, so that lineage stays short and a lost executor costs one step.
+    shared folder, so that lineage stays short and a lost executor costs one step. Links only ever move to
+    smaller nodes, so rounds end; their number grows with the logarithm of the longest path.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
@@ -34,6 +35,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         for old in (edges, least, large, low):
             drop_cut(old)
         edges = fresh
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())

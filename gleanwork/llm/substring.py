@@ -5,9 +5,9 @@ minimisers are looked at: of the first-length windows in every window of the nex
 with the smallest hash. They depend on content alone, so a repeated longer window always has a
 repeated minimiser, and a quarter of all positions is enough. Only windows that are repeated at one
 length are extended to the next; the levels end when no candidate survives or the full length is
-reached. Per level, rows of (hash, document) are shuffled, texts never with them; copies of a hash
-within a task are combined before the shuffle, so a passage that every document has costs a row or
-so per task.
+reached. Per level, rows of (hash, document) are shuffled; copies of a hash within a task are combined
+before the shuffle, so a passage that every document has costs a row or so per task. Texts are
+shuffled only to meet their own document's candidates, and only those of documents that have some.
 """
 
 from __future__ import annotations

@@ -5,13 +5,14 @@ level 0, level 2 the listed keys that pass level 1, and so on until no key passe
 the corpus is listed exactly if the first level that refuses it is odd, or, if none refuses it, the
 last level is even. Level 0's false-positive rate is chosen so that level 1 is no larger than the
 list; all later levels shrink geometrically. So the cascade's size is bounded by the list and the
-logarithm of the number of the corpus's keys, and that size is checked.
+logarithm of the number of the corpus's keys; a list too long for that is taken in parts.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 from .. import bitset
 from .common import LOWER, UPPER, cut
 
-MAX_LEVELS = 40
-MAX_LIST_BITS = bitset.MAX_BITS  # 128 MB: for about 40 million rules
+LIST_BITS = bitset.MAX_BITS // 2  # 64 MB, for about 20 million rules at once; longer lists are taken in parts
 
 
 def host_of(url: Column) -> Column:
@@ -63,6 +63,18 @@ def _passes(level: Level, number: int, key: Column, blocks: Column | None = None
     return ok
 
 
+def _rate(n: int, universe: DataFrame) -> float:
+    """Level 0's false-positive rate for n listed keys."""
+    others = max(1, universe.select(F.approx_count_distinct("key", 0.02)).first()[0])
+    return min(0.5, n * math.sqrt(0.5) / others)
+
+
+def parts_of(listed: DataFrame, universe: DataFrame, most_bits: int) -> int:
+    """In how many parts, by the keys' hash, a list must be taken for its level 0 to have at most about so many bits."""
+    n = listed.count()
+    return max(1, math.ceil(n * -math.log2(_rate(n, universe)) / math.log(2) / most_bits)) if n else 1
+
+
 class Cascade:
     """Exact membership of the keys of `universe` in those of `listed` (each one column, key)."""
 
@@ -72,26 +84,21 @@ class Cascade:
         self.levels: list[Level] = []
         if not n:
             return
-        others = max(1, universe.select(F.approx_count_distinct("key", 0.02)).first()[0])
-        rate = min(0.5, n * math.sqrt(0.5) / others)
-        if n * -math.log2(rate) / math.log(2) > MAX_LIST_BITS:
-            raise ValueError(f"{n} listed keys need more than {MAX_LIST_BITS} bits: split the list")
-        self.levels.append(_build(listed, 0, n, rate))
+        self.levels.append(_build(listed, 0, n, _rate(n, universe)))
         # Of the corpus's keys that pass level 0, the listed ones are told apart by an aggregation, without a join.
         passing = universe.filter("key IS NOT NULL").filter(_passes(self.levels[0], 0, F.col("key"))).distinct()
         marked = listed.select("key", F.lit(1).alias("in_list")).union(passing.select("key", F.lit(0)))
         rest = cut(marked.groupBy("key").agg(F.max("in_list").alias("in_list")), "passing")
-        for number in range(1, MAX_LEVELS):
+        # Each level halves what passes wrongly, by a hash function of its own, so that levels end.
+        for number in count(1):
             side = rest.filter(F.col("in_list") == (number + 1) % 2).select("key")
-            count = side.count()
-            if not count:
+            keys = side.count()
+            if not keys:
                 return
-            self.levels.append(_build(side, number, count, 0.5))
+            self.levels.append(_build(side, number, keys, 0.5))
             # What this level does not refuse and should: the other side's keys that pass it.
             stays = (F.col("in_list") == (number + 1) % 2) | _passes(self.levels[-1], number, F.col("key"))
             rest = cut(rest.filter(stays), "passing")
-        if rest.filter(F.col("in_list") != MAX_LEVELS % 2).count():
-            raise RuntimeError(f"the cascade did not end within {MAX_LEVELS} levels")
 
     def columns(self, name: str) -> dict[str, Column]:
         """The levels' bitsets as columns, which a lambda can use where it can't hold a subquery."""
@@ -106,7 +113,7 @@ class Cascade:
         return out & key.isNotNull()
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bits: int = LIST_BITS) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict.
 
     rules has columns host, path and verdict (allow or block). A rule fits its host and all
@@ -117,7 +124,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     A url's candidates are its host's suffixes with its path's prefixes, of the lengths that the
     rules have; all candidates of the corpus are the cascade's key universe. Two cascades, of all
     rules and of the blocking ones, then tell the longest listed candidate and its verdict without a
-    join. The only things collected are the distinct lengths of the rules' paths.
+    join. Lists whose level 0 would have over most_bits bits are taken in parts, one pass each. The only things collected are the distinct lengths of the rules' paths.
 
     Nulls: a null url, or one without ://, has an empty host and path, which no rule fits. Rules with
     a null or empty host never fit, a null path is empty; if a rule occurs with both verdicts, block
@@ -139,13 +146,30 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.length(F.concat(s, p)).alias("n"), F.length(s).alias("h"), F.concat(s, p).alias("key")))))
     candidates = F.when(F.col("host") != "", F.reverse(F.sort_array(pairs)))
     universe = urls.select(F.explode(candidates).alias("c")).select("c.key")
-    listed = Cascade(rules.select("key"), universe)
-    blocked = Cascade(rules.filter("block").select("key"), universe)
-    # Longest first: the first listed candidate is the rule.
+    parts = parts_of(rules.select("key").distinct(), universe, most_bits)
+    mine = lambda key, part: F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) == part if parts > 1 else F.lit(True)
+    # Longest first: the first listed candidate is the rule, or the longest of those that the parts have.
     # Candidates and bitset columns are used once each, so the optimiser makes one projection of these
     # three, with the subqueries in the lambda, and rows never carry a bitset.
-    rows = urls.withColumn("candidates", candidates).withColumns(listed.columns("_level"))
-    hit = F.get(F.filter("candidates", lambda c: listed.has(c["key"], "_level")), F.lit(0))["key"]
-    rows = rows.select("id", "host", "path", hit.alias("rule"))
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocked.has(F.col("rule")), "block").otherwise("allow")
-    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+    found = urls
+    for part in range(parts):
+        listed = Cascade(rules.select("key").filter(mine(F.col("key"), part)), universe.filter(mine(F.col("key"), part)))
+        rows = found.withColumn("candidates", candidates).withColumns(listed.columns("_level"))
+        hit = F.get(F.filter("candidates", lambda c: mine(c["key"], part) & listed.has(c["key"], "_level")), F.lit(0))  # noqa: B023
+        if parts == 1:
+            found = rows.select("id", "host", "path", hit["key"].alias("rule"))
+        else:  # a table between parts: a task then holds the bitsets of one
+            found = cut(rows.select("id", "host", "path", (F.greatest("best", hit) if part else hit).alias("best")), "part")
+    if parts > 1:
+        found = found.select("id", "host", "path", F.col("best")["key"].alias("rule"))
+    blocks = F.lit(False)
+    for part in range(parts):
+        blocked = Cascade(rules.filter("block").select("key").filter(mine(F.col("key"), part)), universe.filter(mine(F.col("key"), part)))
+        one = mine(F.col("rule"), part) & blocked.has(F.col("rule"))
+        if parts == 1:
+            blocks = one
+        else:
+            found = cut(found.withColumn("blocks", F.coalesce(one, F.lit(False)) | (F.col("blocks") if part else F.lit(False))), "part")
+            blocks = F.col("blocks")
+    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocks, "block").otherwise("allow")
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))

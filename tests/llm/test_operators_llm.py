@@ -120,6 +120,25 @@ def test_url_filter(spark, rules):
     assert urlfilter.url_filter(pages.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("most_bits", [1 << 26, 40])
+def test_url_filter_by_parts(spark, most_bits):
+    """Hundreds of rules, of hosts and paths of any length, at once and in parts."""
+    r = random.Random(2)
+    hosts = [".".join(r.choice("abc") * r.randrange(1, 4) for _ in range(r.randrange(1, 4))) for _ in range(60)] + ["h" * 3000]
+    rules = [(h, "/" + "x" * r.randrange(0, 3), r.choice(["allow", "block"])) for h in hosts]
+    urls = [f"http://{r.choice(['', 'www.', 'a.'])}{r.choice(hosts)}/{'x' * r.randrange(4)}{'y' * (5000 if k == 7 else 1)}" for k in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = urlfilter.url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), most_bits=most_bits)
+    expected = []
+    for i, u in enumerate(urls):
+        rest = u.split("://")[1]
+        host, path = rest[: rest.index("/")], rest[rest.index("/") :]
+        fits = sorted(((len(h + p), len(h), h + p) for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), reverse=True)
+        rule = fits[0][2] if fits else None
+        expected.append((i, rule, "block" if any(h + p == rule and v == "block" for h, p, v in rules) else "allow"))
+    assert got(found, "page_id", "rule", "verdict") == sorted(expected, key=repr)
+
+
 def test_cascade_is_exact(spark):
     """Many keys: the levels' false positives are all encoded."""
     universe = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
@@ -356,6 +375,30 @@ def test_discriminant():
     assert np.allclose(model.scores(x[1]), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def test_statistics_and_sums(spark, rows, docs):
+    """Some statistics by their definitions, and the sums that executors add up against those of all rows at once."""
+    text = "The cat. the dog, THE end!\nab 12\n\nab 12"
+    x = dict(zip(quality.NAMES, quality.statistics(text)))
+    share = lambda n, of: math.asin(math.sqrt(n / of))
+    words = text.split()
+    assert x["chars"] == math.log1p(len(text)) and x["words"] == math.log1p(10) and abs(x["digits"] - share(4, len(text))) < 1e-12
+    assert abs(x["distinct_words"] - share(8, 10)) < 1e-12 and abs(x["distinct_lines"] - share(2, 3)) < 1e-12 and abs(x["upper"] - share(4, sum(c.isalpha() for c in text))) < 1e-12
+    assert abs(x["short_words"] - share(sum(len(w) <= 3 for w in words), 10)) < 1e-12 and abs(x["capital_words"] - share(2, 10)) < 1e-12 and x["next_same"] == 0
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i, _ in rows if i is not None] + [(1, 7)], "doc_id long, quality int")
+    measured = quality.measured(docs)
+    model = quality.train(measured, labels)
+    of = defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            n = sum(1 for k, _ in rows if k == i)
+            of[i % 3 % 2] += [quality.statistics(t)] * n
+    own = [np.array(of[k]) for k in (0, 1)]
+    expected = quality.model_of(np.array([len(a) for a in own], float), np.array([a.sum(axis=0) for a in own]), np.array([a.T @ a for a in own]))
+    assert np.allclose(model.means, expected.means) and np.allclose(model.constants, expected.constants) and np.allclose(model.prior, expected.prior)
+    some = np.array([quality.statistics(t) for _, t in rows])
+    assert np.allclose(model.scores(some), expected.scores(some), atol=1e-6)
+
+
 def test_quality_cases(spark, docs, rows):
     labels = spark.createDataFrame([(i, k % 2, 0, 1) for k, (i, _) in enumerate(rows)] + [(9999, 1, 0, 1), (1, None, 0, 1), (None, 1, 0, 1), (4, 7, 0, 1)], "doc_id long, quality int, toxic int, x int")
     out = quality.classify(docs, labels)
