@@ -69,7 +69,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", "items", "best_score")
+    items = F.array_join(F.transform("items", lambda i: i.cast("string")), " ")
+    return found.select("doc_id", "contaminated", items.alias("items"), F.round("best_score", 4).alias("best_score"))
 
 
 QUERIES = {
@@ -131,5 +132,30 @@ o AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string([ls[i] for i in range(1, len(ls) + 1) if NOT list_contains(gone, i)], chr(10)) END, '')) AS kept_sha256
 FROM t LEFT JOIN o USING (doc_id)
+""",
+    "op10_decontamination": r"""
+WITH r AS (SELECT item_id, text, regexp_extract(regexp_replace(regexp_replace(text, '\s+$', ''), '[.?!]+$', ''), '(?s)^(.*[.?!:\n])\s*(\S.*)$', ['q', 'a']) AS x, floor(log2(length(text) + 64.0) / 3) AS cls FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, cls, text, regexp_extract_all(lower(x.q), '[\p{L}\p{N}_]+') AS q, regexp_extract_all(lower(x.a), '[\p{L}\p{N}_]+') AS a FROM r),
+i AS (SELECT item_id, cls, CASE WHEN len(q) > 0 AND len(a) > 0 THEN q ELSE regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') END AS q, CASE WHEN len(q) > 0 AND len(a) > 0 THEN a ELSE [] END AS a FROM s),
+parts AS (SELECT item_id, cls, part, ws, least(5, len(ws)) AS n FROM (SELECT item_id, cls, 'q' AS part, q AS ws FROM i UNION ALL SELECT item_id, cls, 'a', a FROM i UNION ALL SELECT item_id, cls, 'w', q || a FROM i) WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT item_id, cls, part, n, array_to_string(ws[k:k + n - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM parts)),
+size AS (SELECT item_id, part, count(*) AS size FROM sh GROUP BY ALL),
+step AS (SELECT cls, max(len(ws)) AS step, count(*) AS items, avg(len(ws)) AS mean FROM parts WHERE part = 'w' GROUP BY cls),
+f AS (SELECT item_id, cls, len(ws) AS len, w, count(*) AS f FROM (SELECT item_id, cls, ws, unnest(ws) AS w FROM parts WHERE part = 'w') GROUP BY ALL),
+df AS (SELECT cls, w, count(*) AS n FROM f GROUP BY ALL),
+imp AS (SELECT item_id, w, ln(1 + (items - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) AS v FROM f JOIN df USING (cls, w) JOIN step USING (cls)),
+share AS (SELECT item_id, w, v / sum(v) OVER (PARTITION BY item_id) AS v FROM imp),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+ds AS (SELECT doc_id, n, k - 1 AS pos, array_to_string(ws[k:k + n - 1], ' ') AS sh FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM sh))),
+m AS (SELECT doc_id, item_id, part, sh, pos, n, cls, step FROM ds JOIN sh USING (n, sh) JOIN step USING (cls)),
+mp AS (SELECT *, pos // step AS p FROM m UNION ALL SELECT *, pos // step - 1 FROM m WHERE pos >= step AND pos + n <= (pos // step + 1) * step),
+o AS (SELECT doc_id, item_id, p, part, count(DISTINCT sh) AS c FROM mp GROUP BY ALL),
+h AS (SELECT doc_id, item_id, p, coalesce(max(c) FILTER (part = 'q'), 0) AS q, coalesce(max(c) FILTER (part = 'a'), 0) AS a, coalesce(max(c) FILTER (part = 'w'), 0) AS w FROM o GROUP BY ALL),
+z AS (SELECT item_id, max(size) FILTER (part = 'q') AS q, coalesce(max(size) FILTER (part = 'a'), 0) AS a, max(size) FILTER (part = 'w') AS w FROM size GROUP BY ALL),
+held AS (SELECT doc_id, item_id, p FROM h JOIN z USING (item_id) WHERE (5 * h.q >= 4 * z.q AND 5 * h.a >= 4 * z.a) OR (5 * h.w >= 4 * z.w AND CASE WHEN z.a > z.q THEN 5 * h.a >= 4 * z.a ELSE 5 * h.q >= 4 * z.q END)),
+terms AS (SELECT DISTINCT doc_id, item_id, p, unnest(ws[p * step + 1:(p + 2) * step]) AS w FROM held JOIN d USING (doc_id) JOIN (SELECT DISTINCT item_id, cls FROM parts) USING (item_id) JOIN step USING (cls)),
+score AS (SELECT doc_id, item_id, p, sum(v) AS score FROM terms JOIN share USING (item_id, w) GROUP BY ALL),
+g AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ' ') AS items, round(max(score), 4) AS best_score FROM score GROUP BY doc_id)
+SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, '') AS items, coalesce(best_score, 0.0::DOUBLE) AS best_score FROM d LEFT JOIN g USING (doc_id)
 """,
 }
