@@ -245,15 +245,33 @@ def _chunks(spark, sf_dir):
     return chunk.chunk_documents(docs)
 
 
-@query()
+_WINDOWS = "[substr({t}, i * step + 1, width) for i in range(0, greatest(0, ceil((length({t}) - width) / step::DOUBLE))::BIGINT + 1)]"
+CHUNKS = rf"""
+d AS (SELECT sha1(text) AS parent, trim(text, E' \t\n\r\v\f') AS text, {KIND} AS kind FROM documents WHERE trim(text, E' \t\n\r\v\f') <> '' QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY source, {KIND}) = 1),
+e AS (SELECT parent, text, CASE WHEN kind <> 'image' AND {STRUCTURED} THEN 'structured' ELSE 'ocr_raw' END AS profile FROM d),
+p AS (SELECT *, CASE profile WHEN 'structured' THEN 512 ELSE 256 END AS size, CASE profile WHEN 'structured' THEN 61 ELSE 51 END AS overlap,
+  CASE WHEN contains(text, E'\n\n') THEN E'\n\n' WHEN contains(text, E'\n') THEN E'\n' WHEN contains(text, '. ') THEN '. ' WHEN contains(text, ' ') THEN ' ' END AS sep FROM e),
+w AS (SELECT *, floor(size * 3.6::DOUBLE)::BIGINT AS width, floor(size * 3.6::DOUBLE)::BIGINT - floor(overlap * 3.6::DOUBLE)::BIGINT AS step FROM p),
+f AS (SELECT *, list_reduce([{{'gone': []::VARCHAR[], 'held': ''}}] || [{{'gone': []::VARCHAR[], 'held': x}} for x in string_split(text, sep)], lambda a, x: CASE
+  WHEN floor(length(CASE WHEN a.held = '' THEN x.held ELSE a.held || sep || x.held END) / 3.6::DOUBLE) <= size THEN {{'gone': a.gone, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || sep || x.held END}}
+  WHEN a.held = '' THEN {{'gone': a.gone || {_WINDOWS.format(t="x.held")}, 'held': ''}}
+  WHEN floor(length(right(a.held, 4 * overlap) || x.held) / 3.6::DOUBLE) <= size THEN {{'gone': a.gone || [a.held], 'held': right(a.held, 4 * overlap) || x.held}}
+  ELSE {{'gone': a.gone || [a.held] || {_WINDOWS.format(t="(right(a.held, 4 * overlap) || x.held)")}[:-2], 'held': {_WINDOWS.format(t="(right(a.held, 4 * overlap) || x.held)")}[-1]}} END) AS s FROM w),
+c AS (SELECT parent, profile, CASE WHEN floor(length(text) / 3.6::DOUBLE) <= size THEN [text] WHEN sep IS NULL THEN {_WINDOWS.format(t="text")} WHEN s.held = '' THEN s.gone ELSE s.gone || [s.held] END AS pieces FROM f),
+chunks AS (SELECT parent || ':' || (i - 1) AS id, profile, (i - 1)::INT AS chunk_index, len(pieces)::INT AS chunk_total, pieces[i] AS text FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM c))
+"""
+
+
+@query(f"WITH {CHUNKS} SELECT id, profile, chunk_index, chunk_total, floor(length(text) / 3.6::DOUBLE)::INT AS n_tokens, sha1(text) AS text_sha1 FROM chunks")
 def separator_chunks(spark, sf_dir):
-    """No SQL: a fold with a buffer. The tests compare it with a model of the rules."""
     return _chunks(spark, sf_dir).select("id", "profile", "chunk_index", "chunk_total", "n_tokens", F.sha1("text").alias("text_sha1"))
 
 
-@query()
+@query(f"""
+WITH {CHUNKS}, g AS (SELECT profile, count(*) AS n FROM chunks GROUP BY 1), t AS (SELECT profile, n, 'key' AS kind FROM g UNION ALL SELECT 'total', sum(n), 'total' FROM g)
+SELECT profile, n::BIGINT AS n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM g), 2) AS share_pct, kind FROM t
+""")
 def chunks_by_profile(spark, sf_dir):
-    """No SQL, as it counts what the splitter makes."""
     return report.breakdown(_chunks(spark, sf_dir), F.col("profile"), "profile")
 
 
