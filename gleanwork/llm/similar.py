@@ -5,7 +5,8 @@ n - ceil(limit n) + 1 shingles of each. The order is that of the hashes, with th
 frequent in a sample of the documents last, so that common passages make few candidates (the order
 never changes what is found). Candidates that share a shingle are verified against the least text
 with that shingle first; what is connected by then needs no further comparison, so a large group of
-near copies costs a row per text and shingle, not per pair.
+near copies costs a row per text and shingle, not per pair. Before any set is read, the parities of
+two sets' hashes refuse most pairs that can't reach the limit.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .components import components
 from .simhash import digests, fingerprint
 
 FILTER_BITS = 1 << 26
+PARITIES = 2048
 SAMPLE = 8_000  # documents in which frequent shingles are looked for
 FREQUENT, MOST_FREQUENT = 6, 200_000  # documents of the sample that make a shingle frequent; so many are set last
 
@@ -32,6 +34,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(digests(text, shingle)).view(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES bits as longs: whether an odd number of the hashes falls to each. What two sets don't share is at least the bits in which theirs differ."""
+    odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _least(n: int | Column, similarity: float) -> int | Column:
     """How many shingles of a set of n another one shares at least."""
     return int(np.ceil(similarity * n - 1e-9)) if isinstance(n, int) else F.ceil(n * similarity - 1e-9)
@@ -53,10 +61,10 @@ def frequent(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.nd
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, f, t, n, prefix) per row of docs: fingerprint, the text's hash, its number of different shingles, and the first of them."""
+    """(id, f, t, n, prefix, bits) per row of docs: fingerprint, the text's hash, its number of different shingles, the first of them, and the parities of all (see PARITIES)."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col, shingle))
 
-    @F.pandas_udf("f long, n long, prefix array<long>")
+    @F.pandas_udf("f long, n long, prefix array<long>, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -64,16 +72,26 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
                 own = digests(t, shingle)
                 s = np.unique(own).view(np.int64)
                 k = len(s) - _least(len(s), similarity) + 1 if len(s) else 0
+                bits = parities(s)
                 if len(late.value):
                     seen = late.value[np.searchsorted(late.value[:-1], s)] == s
                     s = np.concatenate([s[~seen], s[seen]])
-                out.append((np.array([fingerprint(t, shingle, own)], np.uint64).view(np.int64)[0], len(s), s[:k]))
-            yield pd.DataFrame(out, columns=["f", "n", "prefix"])
+                out.append((np.array([fingerprint(t, shingle, own)], np.uint64).view(np.int64)[0], len(s), s[:k], bits))
+            yield pd.DataFrame(out, columns=["f", "n", "prefix", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), run(F.col(text_col)).alias("found"))
     return rows.select("id", "t", "found.*")
 
 
+def not_refused(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (ta, tb, fa, fb) whose parities don't show already that the texts can't reach the similarity. A written table."""
+    sides = rows.groupBy("t").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    a, b = sides.toDF("ta", "na", "ba"), sides.toDF("tb", "nb", "bb")
+    both = pairs.join(a.hint("merge"), "ta").join(b.hint("merge"), "tb")
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return cut(both.filter(apart <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select(pairs.columns), "candidates")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(a, b): the fingerprints of those pairs (ta, tb, fa, fb) whose texts reach the similarity."""
 
@@ -127,7 +145,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, near: DataFrame, text_col: s
         return (F.least(n, m) >= _least(F.greatest(n, m), similarity)) & (left >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9))
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        return cut(df.select(F.col(f"{x}.t").alias("ta"), F.col(f"{y}.t").alias("tb"), F.col(f"{x}.f").alias("fa"), F.col(f"{y}.f").alias("fb")).distinct(), "candidates")
+        return not_refused(rows, df.select(F.col(f"{x}.t").alias("ta"), F.col(f"{y}.t").alias("tb"), F.col(f"{x}.f").alias("fa"), F.col(f"{y}.f").alias("fb")).distinct(), similarity)
 
     first = verified(docs, pairs(shared.filter("me.t <> p.t AND me.f <> p.f").filter(may("me", "p")), "me", "p"), text_col, shingle, similarity)
     known = near.union(first)
