@@ -416,6 +416,28 @@ def test_index_search_and_answers(spark, tmp_path):
     assert rows_of(index.read_vectors(spark, path).select("id")) == [("4",), ("5",)]
 
 
+def test_answers_by_brute_force(spark):
+    """Embedding, search, reranking and prompts of many questions against the same steps one by one."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{k}" for k in range(60)])
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(80)]
+    vectors = spark.createDataFrame([(f"c{i}", t, {"url": f"u{i % 7}"}) for i, t in enumerate(texts)], "id string, text string, metadata struct<url:string>").withColumn("embedding", index.embed(F.col("text")))
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, 5))) for q in range(9)], "query_id long, query string")
+    hits = retrieve.search(vectors, asked, index.embed, Options(initial_k=20, final_k=4)).collect()
+    answers = {r["query_id"]: r for r in retrieve.answer(asked, spark.createDataFrame(hits), lambda: lambda p: p[-5:]).collect()}
+    model = index.HashEmbedder()
+    known = model(texts).astype(np.float64)
+    for q, text in ((r["query_id"], r["query"]) for r in asked.collect()):
+        sims = known @ model([text])[0].astype(np.float64)
+        first = sorted(range(80), key=lambda i: -sims[i])[:20]
+        scores = dict(zip(first, retrieve.overlap_reranker([(text, texts[i]) for i in first])))
+        best = sorted(first, key=lambda i: -scores[i])[:4]
+        own = sorted((h for h in hits if h["query_id"] == q), key=lambda h: h["rank"])
+        assert [h["id"] for h in own] == [f"c{i}" for i in best] and np.allclose([h["score"] for h in own], [scores[i] for i in best])
+        contexts = "\n\n---\n\n".join(f"[source] u{i % 7}\n{texts[i]}" for i in best)
+        assert answers[q]["prompt"] == retrieve.PROMPT % (text, contexts) and answers[q]["sources"] == [*dict.fromkeys(f"u{i % 7}" for i in best)] and answers[q]["answer"] == contexts[-5:]
+
+
 # --- Reports, records, streams --------------------------------------------------------------------
 
 
