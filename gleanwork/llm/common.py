@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, drop_cut, new_path
 
-__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "col", "cut", "drop_cut", "free_names", "held_out", "new_path", "others", "table"]
+__all__ = ["LOWER", "SPACES", "SPACE_CLASS", "UPPER", "col", "cut", "drop_cut", "free_names", "held_out", "new_path", "others", "table", "worker_cache"]
 
 #: A-Z, and what they become: lower-casing that leaves all other characters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +30,16 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator remembers in this Python worker. Workers outlive stages: those of other operators are dropped, so that a worker holds one at a time."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where df has such columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, free_names, others
+from .common import col, cut, free_names, others, worker_cache
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
@@ -272,6 +272,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
 
         @F.arrow_udf("items array<long>, best_score double")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            worker_cache("decontam")
             for batch in batches:
                 hits = [held.value.hits(t.as_py()) for t in batch]
                 items_, scores = pa.array([sorted(x) for x in hits], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in hits], pa.float64())

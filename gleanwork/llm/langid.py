@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, free_names, others
+from .common import col, free_names, others, worker_cache
 
 #: What is learned from: so many languages at most, those with the most labelled texts, and so many texts of each, by the hash of text and id.
 LANGUAGES, PER_LANGUAGE = 256, 300
@@ -248,6 +248,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple
 
     @F.arrow_udf("lang_pred string, score double, known double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_cache("langid")
         for batch in batches:
             parts = []
             for at in range(0, len(batch), 256):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, worker_cache
 
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a sequence
@@ -164,17 +164,15 @@ class WordEncoder:
             return b"".join(out)
 
 
-_encoders: dict[str, WordEncoder | PlainEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder | PlainEncoder:
-    if path not in _encoders:
+    held = worker_cache("packing")
+    if path not in held:
         from tokenizers import Tokenizer
 
         one = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            _encoders[path] = (WordEncoder if WordEncoder.fits(json.load(f)) else PlainEncoder)(one)
-    return _encoders[path]
+            held[path] = (WordEncoder if WordEncoder.fits(json.load(f)) else PlainEncoder)(one)
+    return held[path]
 
 
 def _tokenize(path: str, capacity: int, with_ids: bool):

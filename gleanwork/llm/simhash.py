@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker_cache
 from .components import components
 
 #: Bit i (1 to 31) of a half has syndrome i; mask k holds the bits whose number has bit k.
@@ -62,6 +62,7 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("simhash")
         for batch in batches:
             yield pd.Series(np.array([fingerprint(x, shingle) for x in batch], np.uint64).view(np.int64))
 

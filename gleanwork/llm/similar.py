@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import bitset
-from .common import col, cut, drop_cut
+from .common import col, cut, drop_cut, worker_cache
 from .components import components
 from .simhash import digests, fingerprint
 
@@ -66,6 +66,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     @F.pandas_udf("f long, n long, prefix array<long>, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_cache("similar")
         for batch in batches:
             out = []
             for t in batch:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bitset
-from .common import cut
+from .common import cut, worker_cache
 
 FIRST = 5  # the shortest first length
 FLUSH = 1 << 20  # windows that a task combines at once
@@ -47,15 +47,15 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    held = worker_cache("substring")
+    if "hashes" not in held:
+        held["hashes"] = _Hashes()
+    return np.fromiter(map(held["hashes"].__getitem__, words), np.uint64, len(words))
 
 
 def rolled(h: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
