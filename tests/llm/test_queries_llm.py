@@ -17,7 +17,7 @@ from test_operators_llm import frame, held_items, made_up, print_of, removed_lin
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, small, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df, expected = queries.QUERIES[name](spark, small), db.sql(queries.ORACLE_SQL[name])
     at = [expected.columns.index(c) for c in sorted(expected.columns)]
