@@ -24,7 +24,6 @@ from .components import components
 from .simhash import digests, fingerprint
 
 FILTER_BITS = 1 << 26
-PARITIES = 2048
 SAMPLE = 8_000  # documents in which frequent shingles are looked for
 FREQUENT, MOST_FREQUENT = 6, 200_000  # documents of the sample that make a shingle frequent; so many are set last
 
@@ -35,8 +34,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """PARITIES bits as longs: whether an odd number of the hashes falls to each. What two sets don't share is at least the bits in which theirs differ."""
-    odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
+    """Bits as longs, twice to four times as many as there are hashes: whether an odd number of them falls to each.
+
+    What two sets don't share is at least the bits in which theirs differ. Half as many bits are those of the two halves together.
+    """
+    size = 1 << max(8, (2 * len(s)).bit_length())
+    odd = np.bincount(s & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -61,7 +64,7 @@ def frequent(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.nd
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, f, t, n, prefix, bits) per row of docs: fingerprint, the text's hash, its number of different shingles, the first of them, and the parities of all (see PARITIES)."""
+    """(id, f, t, n, prefix, bits) per row of docs: fingerprint, the text's hash, its number of different shingles, the first of them, and the parities of all."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col, shingle))
 
     @F.pandas_udf("f long, n long, prefix array<long>, bits array<long>")
@@ -89,7 +92,15 @@ def not_refused(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFra
     sides = rows.groupBy("t").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     a, b = sides.toDF("ta", "na", "ba"), sides.toDF("tb", "nb", "bb")
     both = pairs.join(a.hint("merge"), "ta").join(b.hint("merge"), "tb")
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    def halved(bits: Column, size: Column) -> Column:
+        """bits, or their halves together if they are more than size: lengths of pairs differ too little for more."""
+        half = F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > size, half).otherwise(bits)
+
+    size = F.least(F.size("ba"), F.size("bb"))
+    differ = F.zip_with(halved(F.col("ba"), size), halved(F.col("bb"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
     return cut(both.filter(apart <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select(pairs.columns), "candidates")
 
 
