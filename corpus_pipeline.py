@@ -20,6 +20,13 @@ LEAST_LANGUAGE_SCORE = 0.4
 LEAST_KNOWN = 0.6
 #: Jaccard similarity of five-word shingles from which documents are near duplicates.
 NEAR_SIMILARITY = 0.8
+#: Texts that a Python worker takes at a time.
+BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Workers take so many texts at a time: what a batch holds counts twice, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def columns(docs: DataFrame) -> list[Column]:
@@ -31,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the documents that have a language; if none has, only texts without letters go.
     """
+    bounded(spark)
     lang, score, known = free_names(docs, "lang_pred", "score", "known")
     found = langid.identify(docs, model := langid.train(docs), names=(lang, score), known=known)
     keep = (F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(known) >= LEAST_KNOWN) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -52,6 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links are a Jaccard similarity of five-word shingles of at least NEAR_SIMILARITY, or fingerprints of them within three bits. Rows with a null id stay.
     """
+    bounded(spark)
     found = simhash.simhash_dedup(docs, shingle=5, similarity=NEAR_SIMILARITY)
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     bits = bitset.fitting(gone, linededup.FILTER_BITS)
@@ -64,6 +73,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded(spark)
     names = tuple(free_names(docs, "contaminated", "items", "best_score"))
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), names=names)
     return found.filter(~F.col(names[0])).select(columns(docs))
@@ -71,6 +81,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left: the rows of op4."""
+    bounded(spark)
     return packing.pack(docs, tokenizer_path())
 
 
