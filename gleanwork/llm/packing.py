@@ -27,7 +27,7 @@ from .common import cut, worker_cache
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a sequence
 SMALLEST = 32  # a rest of at most so many tokens is never cut
-CACHE = 300_000  # words in a generation of those whose ids a worker remembers: some 60 MB
+CACHE = 500_000  # words in a generation of those whose ids a worker remembers: some 100 MB
 TOGETHER = 1 << 21  # characters of texts whose new words are learned at once
 HELD = 1 << 20  # ids, or 16 of them a piece without ids, that a worker holds before it hands them on
 END_ID = 1
@@ -63,13 +63,18 @@ class _Ids(dict):
     """The ids of words, in two generations: when the younger is full, it becomes the older, and words that are used return."""
 
     old: dict[str, bytes] = {}
+    most: int | None = None
+
+    @property
+    def room(self) -> int:
+        return CACHE if self.most is None else self.most
 
     def __missing__(self, word: str) -> bytes:
         self[word] = ids = self.old[word]
         return ids
 
     def make_room(self, n: int) -> None:
-        if len(self) + n > CACHE:
+        if len(self) + n > self.room:
             self.old = dict(self)
             self.clear()
 
@@ -156,15 +161,16 @@ class WordEncoder:
             return b"".join(map(self.ids.__getitem__, words))
         except KeyError:  # learning has made room by forgetting: then part by part, each small enough to stay known
             out = []
-            for at in range(0, len(words), CACHE // 4):
-                some = words[at : at + CACHE // 4]
+            step = max(1, self.ids.room // 4)
+            for at in range(0, len(words), step):
+                some = words[at : at + step]
                 while lost := {w for w in some if w not in self.ids and w not in self.ids.old}:
                     self._learn(lost)
                 out.append(b"".join(map(self.ids.__getitem__, some)))
             return b"".join(out)
 
 
-def encoder(path: str) -> WordEncoder | PlainEncoder:
+def encoder(path: str, cache: int | None = None) -> WordEncoder | PlainEncoder:
     held = worker_cache("packing")
     if path not in held:
         from tokenizers import Tokenizer
@@ -172,15 +178,17 @@ def encoder(path: str) -> WordEncoder | PlainEncoder:
         one = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             held[path] = (WordEncoder if WordEncoder.fits(json.load(f)) else PlainEncoder)(one)
+    if isinstance(held[path], WordEncoder):
+        held[path].ids.most = cache
     return held[path]
 
 
-def _tokenize(path: str, capacity: int, with_ids: bool):
+def _tokenize(path: str, capacity: int, with_ids: bool, cache: int | None):
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
     kinds = (pa.int64(),) * 5 + (pa.list_(pa.int32()),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cache)
         for batch in batches:
             rows, held = [], 0
             # Texts leave Arrow one by one; what is held of them and of their pieces is bounded.
@@ -224,11 +232,12 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, cache: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document is its token ids (tokenizer: path of a word tokenizer's file), then id 1. Sequences
-    hold at most `capacity` ids; offset counts the ids before the piece in its sequence.
+    hold at most `capacity` ids; offset counts the ids before the piece in its sequence. cache: how many
+    words' ids a worker remembers, twice over (default CACHE); it changes nothing but speed and memory.
 
     Workers tokenise and cut their own documents, and know the class of each piece from its length
     alone. Numbering pieces within (worker's partition, class), and adding up the counts of the
@@ -241,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ignored. Texts of any length are read whole.
     """
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _tokenize(tokenizer, capacity, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
+        _tokenize(tokenizer, capacity, with_ids, cache), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
     )
     number = F.monotonically_increasing_id()
     pieces = pieces.withColumn("piece", number).withColumn("part", F.shiftright("piece", 33))
