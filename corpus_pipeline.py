@@ -22,6 +22,8 @@ LEAST_KNOWN = 0.6
 NEAR_SIMILARITY = 0.8
 #: Texts that a Python worker takes at a time.
 BATCH = 1000
+#: Words that a worker of the packing stage remembers, fewer than the operator's own: executors still hold what earlier stages took.
+CACHE = 250_000
 
 
 def bounded(spark: SparkSession) -> None:
@@ -82,7 +84,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left: the rows of op4."""
     bounded(spark)
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), cache=CACHE)
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
