@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gleanwork import bitset
 from gleanwork.llm.common import new_path
-from gleanwork.llm import components, decontam, exactdedup, langid, linededup, packing, quality, queries, simhash, substring, urlfilter, warc
+from gleanwork.llm import common, components, decontam, exactdedup, langid, linededup, packing, quality, queries, simhash, substring, urlfilter, warc
 
 SPACE = "[\x20\x09-\x0d]+"
 #: doc_id, text, and columns whose names the operators use inside.
@@ -79,6 +79,11 @@ def test_bitset(spark):
         bitset.checked_bits(1 << 40)
 
 
+def test_workers_hold_one_cache():
+    common.worker_cache("a")["x"] = 1
+    assert common.worker_cache("a") == {"x": 1} and common.worker_cache("b") == {} and common.worker_cache("a") == {}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     r = random.Random(seed)
