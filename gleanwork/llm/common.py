@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +38,22 @@ _caches: dict[str, dict] = {}
 
 def worker_cache(owner: str) -> dict:
     """What an operator remembers in this Python worker. Workers outlive stages: those of other operators are dropped, so that a worker holds one at a time."""
-    for other in [k for k in _caches if k != owner]:
-        del _caches[other]
+    if others_ := [k for k in _caches if k != owner]:
+        for other in others_:
+            del _caches[other]
+        give_back()
     return _caches.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Returns memory that Python has freed to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where df has such columns."""
     taken, out = {c.lower() for c in df.columns}, []

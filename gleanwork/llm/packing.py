@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, worker_cache
+from .common import cut, give_back, worker_cache
 
 CAPACITY = 2048
 SLACK = 64  # a rest is left whole if it wastes at most a 64th of its share of a sequence
@@ -204,6 +204,7 @@ def _tokenize(path: str, capacity: int, with_ids: bool, cache: int | None):
                     yield _batch(rows)
                     rows, held = [], 0
             yield _batch(rows)
+        give_back()
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [*columns])
