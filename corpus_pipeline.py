@@ -23,7 +23,7 @@ NEAR_SIMILARITY = 0.8
 #: Texts that a Python worker takes at a time.
 BATCH = 1000
 #: Words that a worker of the packing stage remembers, fewer than the operator's own: executors still hold what earlier stages took.
-CACHE = 250_000
+CACHE = 100_000
 
 
 def bounded(spark: SparkSession) -> None:
