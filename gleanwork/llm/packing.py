@@ -14,6 +14,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -151,8 +152,8 @@ class WordEncoder:
         yield from self._all(held)
 
     def _all(self, split: list[list[str]]) -> Iterator[bytes]:
-        if new := [w for w in set().union(*split) if w not in self.ids and w not in self.ids.old]:
-            self._learn(set(new))
+        if new := set(filterfalse(self.ids.old.__contains__, filterfalse(self.ids.__contains__, set().union(*split)))):
+            self._learn(new)
         for words in split:
             yield self._join(words)
 
