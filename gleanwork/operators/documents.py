@@ -56,6 +56,17 @@ def accepted(text: Column, min_chars: int = 150, detect=T.th_en) -> Column:
     return T.qc_ok(text, min_chars) & (T.usable_th_en(text, min_chars, 0.65, detect) | (F.length(text) >= 2 * min_chars))
 
 
+def _chosen(markdown: Column, plain: Column, min_chars: int, detect, *then: Column) -> Column:
+    """The first of `then` if the Markdown is accepted, the second if the plain text is, else the third; both stripped and not null."""
+    return F.when(accepted(markdown, min_chars, detect), then[0]).when(accepted(plain, min_chars, detect), then[1]).otherwise(then[2])
+
+
+def pdf_step(markdown: Column, plain: Column, min_chars: int = 150, detect=T.th_en) -> Column:
+    """Where pdf_cascade() takes the text from: markdown, plain or pages."""
+    markdown, plain = T.strip(F.coalesce(markdown, F.lit(""))), T.strip(F.coalesce(plain, F.lit("")))
+    return _chosen(markdown, plain, min_chars, detect, F.lit("markdown"), F.lit("plain"), F.lit("pages"))
+
+
 def pdf_cascade(markdown: Column, plain: Column, pages: Column, min_chars: int = 150, detect=T.th_en, separator: str = "") -> Column:
     """The text of a PDF: its Markdown or its plain text if accepted, else its pages' texts; null if all is empty.
 
@@ -63,7 +74,7 @@ def pdf_cascade(markdown: Column, plain: Column, pages: Column, min_chars: int =
     """
     markdown, plain = T.strip(F.coalesce(markdown, F.lit(""))), T.strip(F.coalesce(plain, F.lit("")))
     rest = T.strip(F.array_join(F.filter(pages, lambda p: p != ""), separator))
-    return F.when(accepted(markdown, min_chars, detect), markdown).when(accepted(plain, min_chars, detect), plain).otherwise(F.nullif(rest, F.lit("")))
+    return _chosen(markdown, plain, min_chars, detect, markdown, plain, F.nullif(rest, F.lit("")))
 
 
 def pdf_documents(pdfs: DataFrame, captured_at: Column, detect=T.th_en, separator: str = "") -> DataFrame:

@@ -222,10 +222,7 @@ SELECT doc_id, CASE WHEN source < 'src5' AND ok THEN 'markdown' WHEN ok THEN 'pl
 """)
 def pdf_cascade(spark, sf_dir):
     text = F.col("text")
-    markdown = F.when(F.col("source") < "src5", text)
-    found = documents.pdf_cascade(F.concat(F.lit("# "), markdown), text, F.array(F.lit("pages")))
-    step = F.when(found.startswith("# "), "markdown").when(found == "pages", "pages").otherwise("plain")
-    return _docs(spark, sf_dir).select("doc_id", step.alias("step"))
+    return _docs(spark, sf_dir).select("doc_id", documents.pdf_step(F.when(F.col("source") < "src5", text), text).alias("step"))
 
 
 # --- Chunks ---------------------------------------------------------------------------------------
