@@ -2,7 +2,9 @@
 
 A line's tokens are its different words. All lines order tokens by one global rule, the rarest
 first, so that lines with a Jaccard similarity of at least t share a token in their first
-n - ceil(t n) + 1 (prefix filter). Pairs are then pruned by size (length filter), by how many tokens
+n - ceil(t n) + 1 (prefix filter). A common token is in ever more lines as the corpus grows, so from HEAVY
+words of its bucket on, a token is a key only together with the one that follows it in the line's order: see
+_reach(). Pairs are then pruned by size (length filter), by how many tokens
 can still be shared behind the matching positions (positional filter), and by a 128-bit parity
 signature, which bounds the symmetric difference; what is left is verified on the words themselves.
 
@@ -10,9 +12,9 @@ Rarity is looked up in a table of fixed size: the logarithm of the number of wor
 that fall into the token's bucket. Any order gives right results; a coarse one costs some candidates.
 
 A line goes if any earlier line is similar to it. So it is enough to find one. Of lines with the same
-text only the first goes on; the others go. Each is then held against a line of the earliest document
-with the same smallest, or largest, token hash: in large groups of near copies that settles almost all,
-with a pair or two for each. Only the others take part in the join as the later line of a pair, and of
+text only the first goes on; the others go. Each is then held against the first line that has one of its
+pivots too, the first PIVOTS pairs of neighbours in its prefix: in large groups of near copies that settles almost
+all, with a few pairs for each. Only the others take part in the join as the later line of a pair, and of
 their candidates the one with the nearest signature is verified first: lines that it settles need no other.
 
 Tables that grow with the corpus are joined by sorting, never broadcast.
@@ -33,6 +35,9 @@ BUCKETS = 1 << 18  # of the rarity table: 2 MB
 FILTER_BITS = 1 << 26
 SIMILARITY = 0.8
 HASH_BITS = 56  # of a token; its rank of commonness stands above them
+HEAVY = 512  # words of a bucket from which on its tokens are keys in pairs only
+PIVOTS = 8
+END = 0  # stands for what follows the last token
 
 
 def plain(text: Column) -> Column:
@@ -52,12 +57,16 @@ def rarity(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> D
     counts = words.select(_bucket(F.xxhash64("w"), buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     blank = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.union(blank).groupBy("bucket").agg(F.sum("n").alias("n"))
-    rank = F.shiftleft(F.least(F.floor(F.log2(F.col("n") + 1.0) * 3), F.lit(120)).cast("long"), HASH_BITS).alias("rank")
+    rank = F.shiftleft(_commonness(F.col("n")), HASH_BITS).alias("rank")
     rows = full.select(F.shiftright("bucket", 10).alias("hi"), F.struct("bucket", rank).alias("x"))
     inner = rows.groupBy("hi").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["rank"]).alias("ranks"))
     return cut(inner.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", "ranks"))), lambda x: x["ranks"])).alias("ranks")), "rarity")
 
 
+def _commonness(words: Column) -> Column:
+    return F.least(F.floor(F.log2(words + 1.0) * 3), F.lit(120)).cast("long")
+
+
 def _bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
@@ -80,7 +89,24 @@ def _tokenised(lines: DataFrame, ranks: DataFrame, buckets: int) -> DataFrame:
     return lines.withColumn("ranks", ranks.scalar()).withColumn("toks", F.sort_array(F.transform(hashes, packed))).drop("ranks", "text")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, buckets: int = BUCKETS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def _reach(n: Column, light: Column, t: Fraction) -> tuple[Column, Column]:
+    """How many of a line's keys it has as the longer and as the shorter of a similar pair; a key stands at each token.
+
+    n: its tokens; light: those under HEAVY, which stand first. Let the lines x and y share o tokens, A being what x
+    has besides at most. If the first shared token is light, at most A tokens of x stand before it: A + 1 keys will do.
+    Else none of x's light tokens is shared. Of the o gaps behind shared tokens (the last one up to the end), fewer have
+    another token of x or y in them, as t > 1/2 and so o > n_x + n_y - 2 o. So there is a first gap without, and the pair of
+    tokens around it is a key of both. In front of it each gap has one of a heavy tokens of x or b of y that aren't shared, so it
+    stands at light + 2 a + b at most, with a <= n_x - o - light and b <= n_y - o: at 2 n_x + n_y - 3 o - light. With
+    o >= t (n_x + n_y) / (1 + t), this is greatest where n_y is least or most, which is how the numbers below come about.
+    """
+    share = lambda least, most: F.when(light > n - least, n - least + 1).otherwise(F.least(n, F.floor(n * most.numerator / F.lit(most.denominator)).cast("int") - light + 1))
+    least = lambda f: F.ceil(n * f.numerator / F.lit(f.denominator)).cast("int")
+    even = 3 * (1 - t) / (1 + t)
+    return share(least(t), max(2 * (1 - t), even)), share(least(2 * t / (1 + t)), max((1 - t) / t, even))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, buckets: int = BUCKETS, filter_bits: int = FILTER_BITS, heavy: int = HEAVY) -> DataFrame:
     """(id, line) of every line that goes, perhaps more than once: see dedup_lines(). A written table."""
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
@@ -108,12 +134,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parity = lambda first: F.aggregate("toks", none, lambda a, x: a.bitwiseXOR(bit(x, first(x))))
     # Tokens with an odd seventh bit have their parities in `odd`, those of all tokens are in `both`.
     signature = parity(lambda x: one).alias("both"), parity(lambda x: F.shiftright(x, 6).bitwiseAND(one)).alias("odd")
-    # In the prefix tokens are halved to 32 bits: what that confuses are a few more candidates.
-    prefix = F.transform(F.slice("toks", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1), lambda x: F.hash(x))
-    raw = F.transform("toks", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    ends = F.array_min(raw).alias("low"), F.array_max(raw).alias("high")
-    rows = _tokenised(different, ranks, buckets)
-    lines = cut(rows.select("id", "line", n.alias("n"), *signature, *ends, prefix.alias("prefix")), "lines").filter("n > 0")
+    # Keys are of 32 bits: what that confuses are a few more candidates.
+    common = F.shiftleft(_commonness(F.lit(heavy)), HASH_BITS)
+    light = F.size(F.filter("toks", lambda x: x < common)) if 2 * t > 1 else n
+    follows = lambda i: F.coalesce(F.get("toks", i + 1), F.lit(END).cast("long"))
+    key_at = lambda x, i: F.when(i < F.col("light"), F.hash(x)).otherwise(F.hash(x, follows(i)))
+    prefix = F.transform(F.slice("toks", 1, _reach(n, F.col("light"), t)[0]), key_at)
+    rows = _tokenised(different, ranks, buckets).withColumn("light", light)
+    lines = cut(rows.select("id", "line", n.alias("n"), "light", *signature, prefix.alias("prefix")), "lines").filter("n > 0")
     for old in (hashes, ranks, first, second):
         drop_cut(old)
 
@@ -131,37 +159,41 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = cut(pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).union(pairs.select("y_id", "y_line")).distinct(), "wanted")
         bits = bitset.fitting(wanted, filter_bits)
         at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-        chosen = bitset.build(wanted, at(F.col("id")), bits)
-        texts = _lines(docs.filter(bitset.has(chosen, at(col(id_col)))), id_col, text_col).join(wanted, ["id", "line"], "left_semi")
+        chosen, exact = bitset.build(wanted, at(F.col("id")), bits), bitset.build(wanted, at_line(bits), bits)
+        texts = _lines(docs.filter(bitset.has(chosen, at(col(id_col)))), id_col, text_col).filter(bitset.has(exact, at_line(bits))).join(wanted, ["id", "line"], "left_semi")
         words = cut(texts.select("id", "line", F.array_remove(F.array_distinct(F.split("text", " ")), "").alias("words")), "words")
         x, y = (words.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")) for s in "xy")
         both = pairs.join(x.hint("merge"), ["x_id", "x_line"]).join(y.hint("merge"), ["y_id", "y_line"])
         common = F.size(F.array_intersect("x_words", "y_words"))
         true = common * (num + den) >= (F.size("x_words") + F.size("y_words")) * num
         later = cut(both.filter(true).select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), "later")
-        for old in (wanted, chosen, words):
+        for old in (wanted, chosen, exact, words):
             drop_cut(old)
         return later
 
-    # First the earliest document's line with the same extreme token hash.
+    # First the first line with one of the same pivots. Only lines that share one take part in the join.
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd")]
-    ends = lines.select(F.explode(F.array("low", "high")).alias("end"), "id", "line", "n", "both", "odd")
-    least = ends.groupBy("end").agg(F.min("id").alias("earliest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "earliest")
-    held = cut(ends.join(least.hint("merge"), "end"), "ends")
-    pivots = held.filter("id = earliest").select("end", *side("y")).dropDuplicates(["end"])
-    pairs = held.select("end", *side("x")).join(pivots.hint("merge"), "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
+    pivots = F.array(*(F.xxhash64(F.get("prefix", F.lit(i)), F.coalesce(F.get("prefix", F.lit(i + 1)), F.lit(END))) for i in range(PIVOTS)))
+    ends = lines.select(F.explode(F.slice(pivots, 1, F.size("prefix"))).alias("end"), "id", "line", "n", "both", "odd")
+    least = cut(ends.groupBy("end").agg(F.min("id").alias("earliest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "earliest"), "least")
+    bits = bitset.fitting(least, filter_bits)
+    at_end = lambda bits: F.pmod(F.xxhash64("end"), F.lit(bits))
+    shared = bitset.build(least, at_end(bits), bits)
+    held = cut(ends.filter(bitset.has(shared, at_end(bits))).join(least.hint("merge"), "end"), "ends")
+    firsts = held.filter("id = earliest").groupBy("end").agg(F.min(F.struct("line", "id", "n", "both", "odd")).alias("y")).select("end", "y.*").select("end", *side("y"))
+    pairs = held.select("end", *side("x")).join(firsts.hint("merge"), "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
     pairs = cut(pairs.select(pair).distinct(), "pairs")
     settled = verified(pairs)
     gone.append(settled)
-    for old in (held, pairs):
+    for old in (least, shared, held, pairs):
         drop_cut(old)
 
-    # Then all prefixes: the longer line of a pair looks with its prefix for t, the shorter one is found by
-    # the shorter prefix for 2 t / (1 + t) of its tokens. The later of the two must not be settled yet.
+    # Then all prefixes, for t as the longer line of a pair and for 2 t / (1 + t) of its tokens as the shorter one.
+    # The later of the two must not be settled yet.
     bits = bitset.fitting(settled, filter_bits)
     chosen = bitset.build(settled, at_line(bits), bits)
     maybe = lines.filter(bitset.has(chosen, at_line(bits))).join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
-    payload = ["id", "line", "n", "both", "odd"]
+    payload = ["id", "line", "n", "light", "both", "odd"]
     flagged = lines.filter(~bitset.has(chosen, at_line(bits))).select(*payload, "prefix", F.lit(0).alias("settled")).union(maybe.select(*payload, "prefix", F.coalesce("settled", F.lit(0))))
 
     def entries(s: str, tokens: Column) -> DataFrame:
@@ -171,7 +203,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return rows.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "both", "odd")], packed.alias(f"{s}_x"))
 
     longer = entries("l", F.col("prefix"))
-    shorter = entries("s", F.slice("prefix", 1, F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den)).cast("int") + 1))
+    shorter = entries("s", F.slice("prefix", 1, _reach(F.col("n"), F.col("light"), t)[1]))
     place = lambda s: F.shiftright(F.col(f"{s}_x").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     nl, ns, al, as_ = F.shiftright("l_x", 32), F.shiftright("s_x", 32), place("l"), place("s")
     # Places count from 0: tokens before the match, and the match and what follows.
