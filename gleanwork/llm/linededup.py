@@ -4,16 +4,18 @@ A line's tokens are its different words. All lines order tokens by one global ru
 first, so that lines with a Jaccard similarity of at least t share a token in their first
 n - ceil(t n) + 1 (prefix filter). A common token is in ever more lines as the corpus grows, so from HEAVY
 words of its bucket on, a token is a key only together with the one that follows it in the line's order: see
-_reach(). Pairs are then pruned by size (length filter), by how many tokens
+_reach(). A word that occurs once in all documents is no key: no other line can have it. Pairs are then pruned by
+size (length filter), by how many tokens
 can still be shared behind the matching positions (positional filter), and by a 128-bit parity
 signature, which bounds the symmetric difference; what is left is verified on the words themselves.
+A pair with many keys in common makes a row where a run of them starts, not for each.
 
 Rarity is looked up in a table of fixed size: the logarithm of the number of words of all documents
 that fall into the token's bucket. Any order gives right results; a coarse one costs some candidates.
 
 A line goes if any earlier line is similar to it. So it is enough to find one. Of lines with the same
 text only the first goes on; the others go. Each is then held against the first line that has one of its
-pivots too, the first PIVOTS pairs of neighbours in its prefix: in large groups of near copies that settles almost
+pivots too, the first PIVOTS pairs of neighbours among its keys: in large groups of near copies that settles almost
 all, with a few pairs for each. Only the others take part in the join as the later line of a pair, and of
 their candidates the one with the nearest signature is verified first: lines that it settles need no other.
 
@@ -36,6 +38,7 @@ FILTER_BITS = 1 << 26
 SIMILARITY = 0.8
 HASH_BITS = 56  # of a token; its rank of commonness stands above them
 HEAVY = 512  # words of a bucket from which on its tokens are keys in pairs only
+SPLIT = 1 << 14  # a bucket with this part of all words or more has its tokens in the other half of a line's signature
 PIVOTS = 8
 END = 0  # stands for what follows the last token
 
@@ -48,13 +51,19 @@ def plain(text: Column) -> Column:
     return text
 
 
-def rarity(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): how often each word occurs, words that share 32 bits of hash together. docs: texts that are plain(). A written table."""
+    words = docs.select(F.explode(F.split(F.replace(col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    return cut(words.select(_word(F.shiftrightunsigned(F.xxhash64("w"), 64 - HASH_BITS)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def rarity(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, counts: DataFrame | None = None) -> DataFrame:
     """One row, one column, ranks: array<long> with the rank of commonness of each bucket's words, in a token's top byte.
 
-    docs: texts that are plain(); buckets: a power of two, at least 1024.
+    docs: texts that are plain(); buckets: a power of two, at least 1024; counts: their word_counts(), where they are there.
     """
-    words = docs.select(F.explode(F.split(F.replace(col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.select(_bucket(F.xxhash64("w"), buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = word_counts(docs, text_col) if counts is None else counts
+    counts = counts.groupBy(_bucket("word", buckets).alias("bucket")).agg(F.sum("n").alias("n"))
     blank = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.union(blank).groupBy("bucket").agg(F.sum("n").alias("n"))
     rank = F.shiftleft(_commonness(F.col("n")), HASH_BITS).alias("rank")
@@ -67,8 +76,13 @@ def _commonness(words: Column) -> Column:
     return F.least(F.floor(F.log2(words + 1.0) * 3), F.lit(120)).cast("long")
 
 
-def _bucket(h: Column, buckets: int) -> Column:
-    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+def _word(token: Column) -> Column:
+    """The 32 bits of a token's hash by which words are counted, and that are the key where a token is one alone."""
+    return F.shiftright(F.call_function("shiftleft", token, F.lit(32)), 32).cast("int")
+
+
+def _bucket(word: Column | str, buckets: int) -> Column:
+    return (F.col(word) if isinstance(word, str) else word).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +96,8 @@ def _tokenised(lines: DataFrame, ranks: DataFrame, buckets: int) -> DataFrame:
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
     def packed(h: Column) -> Column:
-        return F.coalesce(F.get(F.col("ranks"), _bucket(h, buckets)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+        token = F.shiftrightunsigned(h, 64 - HASH_BITS)
+        return F.coalesce(F.get(F.col("ranks"), _bucket(token, buckets)), F.lit(0).cast("long")).bitwiseOR(token)
 
     # A lambda can't hold a subquery, but a column. All that toks is made of is used once, so the optimiser
     # makes one projection of it, with the subquery in the lambda, and rows never carry the table.
@@ -128,27 +143,38 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     different = every.filter(~bitset.has(first, at_line(bits)) | bitset.has(second, at_line(bits)))
 
     n = F.size("toks")
-    ranks = rarity(docs.select(plain(col(text_col)).alias("text")), "text", buckets)
-    bit = lambda x, first: F.call_function("shiftleft", first, x.bitwiseAND(F.lit(63)).cast("int"))
+    counts = word_counts(docs.select(plain(col(text_col)).alias("text")))
+    ranks = rarity(docs, "text", buckets, counts)
+    split = (counts.agg(F.sum("n")).first()[0] or 0) // SPLIT
+    again = counts.filter("n > 1")
+    word_bits = bitset.fitting(again, filter_bits)
+    at_word = lambda x: F.pmod(x.cast("long"), F.lit(word_bits))
+    repeated = bitset.build(again, at_word(F.col("word")), word_bits)
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    parity = lambda first: F.aggregate("toks", none, lambda a, x: a.bitwiseXOR(bit(x, first(x))))
-    # Tokens with an odd seventh bit have their parities in `odd`, those of all tokens are in `both`.
-    signature = parity(lambda x: one).alias("both"), parity(lambda x: F.shiftright(x, 6).bitwiseAND(one)).alias("odd")
+    parity = lambda toks: F.aggregate(toks, none, lambda a, x: a.bitwiseXOR(bit(x)))
+    # How many tokens are rarer than that, without a lambda: the place among them of a token that would be the first of the others.
+    under = lambda words: (F.array_position(F.sort_array(F.array_append("toks", limit := F.shiftleft(_commonness(F.lit(words)), HASH_BITS))), limit) - 1).cast("int")
+    # Each token is looked at once for the signature: rarer ones have their parities in `rare`, the others in `rest`.
+    signature = parity(F.slice("toks", 1, F.col("rarer"))).alias("rare"), parity(F.slice("toks", F.col("rarer") + 1, n)).alias("rest")
     # Keys are of 32 bits: what that confuses are a few more candidates.
-    common = F.shiftleft(_commonness(F.lit(heavy)), HASH_BITS)
-    light = F.size(F.filter("toks", lambda x: x < common)) if 2 * t > 1 else n
+    light = under(heavy) if 2 * t > 1 else n
     follows = lambda i: F.coalesce(F.get("toks", i + 1), F.lit(END).cast("long"))
-    key_at = lambda x, i: F.when(i < F.col("light"), F.hash(x)).otherwise(F.hash(x, follows(i)))
+    key_at = lambda x, i: F.when(i < F.col("light"), _word(x)).otherwise(F.hash(x, follows(i)))
     prefix = F.transform(F.slice("toks", 1, _reach(n, F.col("light"), t)[0]), key_at)
-    rows = _tokenised(different, ranks, buckets).withColumn("light", light)
-    lines = cut(rows.select("id", "line", n.alias("n"), "light", *signature, prefix.alias("prefix")), "lines").filter("n > 0")
-    for old in (hashes, ranks, first, second):
+    rows = _tokenised(different, ranks, buckets).withColumns({"light": light, "rarer": under(split)})
+    payload = ["id", "line", "n", "light", "rare", "rest"]
+    rows = rows.select("id", "line", n.alias("n"), "light", *signature, prefix.alias("prefix")).withColumn("repeated", repeated.scalar())
+    # Null where a token is no key. As in _tokenised(), the subquery ends up in the lambda.
+    shared = F.transform("prefix", lambda k, i: F.when((i >= F.col("light")) | bitset.has(F.col("repeated"), at_word(k)), k))
+    lines = cut(rows.select(*payload, shared.alias("prefix")), "lines").filter("n > 0")
+    for old in (hashes, counts, ranks, repeated, first, second):
         drop_cut(old)
 
     def apart(x: str, y: str) -> Column:
         """Bits in which the signatures differ: not more than tokens that only one has."""
-        both, odd = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("both", "odd"))
-        return F.bit_count(odd) + F.bit_count(both.bitwiseXOR(odd))
+        rare, rest = (F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in ("rare", "rest"))
+        return rare + rest
 
     def fits(x: str, y: str, nx: Column, ny: Column) -> Column:
         """Length filter and parity signature."""
@@ -172,15 +198,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return later
 
     # First the first line with one of the same pivots. Only lines that share one take part in the join.
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "both", "odd")]
-    pivots = F.array(*(F.xxhash64(F.get("prefix", F.lit(i)), F.coalesce(F.get("prefix", F.lit(i + 1)), F.lit(END))) for i in range(PIVOTS)))
-    ends = lines.select(F.explode(F.slice(pivots, 1, F.size("prefix"))).alias("end"), "id", "line", "n", "both", "odd")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "n", "rare", "rest")]
+    pivots = F.array(*(F.xxhash64(F.get("keys", F.lit(i)), F.coalesce(F.get("keys", F.lit(i + 1)), F.lit(END))) for i in range(PIVOTS)))
+    ends = lines.withColumn("keys", F.array_compact("prefix")).select(F.explode(F.slice(pivots, 1, F.size("keys"))).alias("end"), "id", "line", "n", "rare", "rest")
     least = cut(ends.groupBy("end").agg(F.min("id").alias("earliest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("end", "earliest"), "least")
     bits = bitset.fitting(least, filter_bits)
     at_end = lambda bits: F.pmod(F.xxhash64("end"), F.lit(bits))
     shared = bitset.build(least, at_end(bits), bits)
     held = cut(ends.filter(bitset.has(shared, at_end(bits))).join(least.hint("merge"), "end"), "ends")
-    firsts = held.filter("id = earliest").groupBy("end").agg(F.min(F.struct("line", "id", "n", "both", "odd")).alias("y")).select("end", "y.*").select("end", *side("y"))
+    firsts = held.filter("id = earliest").groupBy("end").agg(F.min(F.struct("line", "id", "n", "rare", "rest")).alias("y")).select("end", "y.*").select("end", *side("y"))
     pairs = held.select("end", *side("x")).join(firsts.hint("merge"), "end").filter((F.struct("x_id", "x_line") > F.struct("y_id", "y_line")) & fits("x_", "y_", F.col("x_n"), F.col("y_n")))
     pairs = cut(pairs.select(pair).distinct(), "pairs")
     settled = verified(pairs)
@@ -193,24 +219,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = bitset.fitting(settled, filter_bits)
     chosen = bitset.build(settled, at_line(bits), bits)
     maybe = lines.filter(bitset.has(chosen, at_line(bits))).join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
-    payload = ["id", "line", "n", "light", "both", "odd"]
     flagged = lines.filter(~bitset.has(chosen, at_line(bits))).select(*payload, "prefix", F.lit(0).alias("settled")).union(maybe.select(*payload, "prefix", F.coalesce("settled", F.lit(0))))
 
     def entries(s: str, tokens: Column) -> DataFrame:
-        """A row per token; n, the token's place and the mark of settled lines share a column."""
-        rows = flagged.select(*payload, "settled", F.posexplode(tokens).alias("at", "tok"))
-        packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("settled").cast("long"))
-        return rows.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "both", "odd")], packed.alias(f"{s}_x"))
+        """A row per key, with the key before; n, the key's place and the marks of tokens alone and of settled lines share a column."""
+        rows = flagged.select(*payload, "settled", "prefix", F.posexplode(tokens).alias("at", "tok")).filter("tok is not null")
+        back = F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).alias(f"{s}_back")
+        marks = F.col("settled") + F.when(F.col("at") < F.col("light"), F.lit(2)).otherwise(F.lit(0))
+        packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 2).cast("long")).bitwiseOR(marks.cast("long"))
+        return rows.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "rare", "rest")], back, packed.alias(f"{s}_x"))
 
     longer = entries("l", F.col("prefix"))
     shorter = entries("s", F.slice("prefix", 1, _reach(F.col("n"), F.col("light"), t)[1]))
-    place = lambda s: F.shiftright(F.col(f"{s}_x").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    place = lambda s: F.shiftright(F.col(f"{s}_x").bitwiseAND(F.lit((1 << 32) - 1)), 2)
     nl, ns, al, as_ = F.shiftright("l_x", 32), F.shiftright("s_x", 32), place("l"), place("s")
-    # Places count from 0: tokens before the match, and the match and what follows.
-    positional = F.least(al, as_) + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
+    alone = F.col("l_x").bitwiseAND(F.col("s_x")).bitwiseAND(F.lit(2)) != 0
+    # Places count from 0: tokens before the match, and the match and what follows. If the first shared token is a key alone, none
+    # before it is shared, and that pair of places must do. Where the keys before are the same, the pair has a row there or yet further
+    # in front, with the same filters passed: the sum is the same there.
+    before_it = F.when(alone, F.lit(0)).otherwise(F.least(al, as_))
+    positional = before_it + F.least(nl - al, ns - as_) >= least_overlap(nl, ns)
+    starts = ~F.coalesce(F.col("l_back") == F.col("s_back"), F.lit(False))
     l_key, s_key = F.struct("l_id", "l_line"), F.struct("s_id", "s_line")
     useful = F.when(s_key < l_key, F.col("l_x")).otherwise(F.col("s_x")).bitwiseAND(F.lit(1)) == 0
-    found = longer.join(shorter.hint("merge"), "tok").filter((nl >= ns) & fits("l_", "s_", nl, ns) & positional & useful & (l_key != s_key))
+    found = longer.join(shorter.hint("merge"), "tok").filter((nl >= ns) & fits("l_", "s_", nl, ns) & starts & positional & useful & (l_key != s_key))
     later = lambda c: F.when(s_key < l_key, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}"))
     before = lambda c: F.when(s_key < l_key, F.col(f"s_{c}")).otherwise(F.col(f"l_{c}"))
     found = found.select(later("id").alias("x_id"), later("line").alias("x_line"), before("id").alias("y_id"), before("line").alias("y_line"), apart("l_", "s_").alias("apart"))

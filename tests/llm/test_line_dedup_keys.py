@@ -51,3 +51,60 @@ def test_common_tokens_meet_few_lines(spark, monkeypatch):
     assert linededup.removed_lines(docs, buckets=1024).count() == 0  # more words of each than HEAVY would take 20 times the rows
     assert linededup.removed_lines(docs, buckets=1024, heavy=100).count() == 0
     assert kept[1] * 20 < kept[0]
+
+
+def caught(monkeypatch, label):
+    """Tables that are written under this label from now on, each as its rows at once."""
+    cut, out = linededup.cut, []
+
+    def keep(df, name):
+        made = cut(df, name)
+        if name == label:
+            out.append(made.collect())
+        return made
+
+    monkeypatch.setattr(linededup, "cut", keep)
+    return out
+
+
+def test_words_that_occur_once_are_no_keys(spark, monkeypatch):
+    """Near copies that differ in such words only, and lines of nothing else."""
+    r, unique = random.Random(2), iter(range(10**6))
+    rows = []
+    for i in range(200):
+        line = [f"w{20 * (i % 40) + k}" for k in range(20)]
+        for k in r.sample(range(20), r.randrange(5)):
+            line[k] = f"u{next(unique)}"
+        rows.append((i, " ".join(line) + "\n" + " ".join(f"u{next(unique)}" for _ in range(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = caught(monkeypatch, "lines")
+    found = linededup.removed_lines(docs, buckets=1024)
+    assert {(x["id"], x["line"]) for x in found.collect()} == removed_lines(rows, 4, 5)
+    assert sum(k is not None for x in lines[0] if x["line"] == 1 for k in x["prefix"]) < 100  # of 1,400: the bitset takes a few words for others
+    assert any(k is not None for x in lines[0] if x["line"] == 0 for k in x["prefix"])
+
+
+def test_a_pair_makes_a_row_per_run_of_shared_keys(spark, monkeypatch):
+    """Lines that nearly reach the similarity share most of their keys: the join makes few rows of each pair."""
+    r = random.Random(3)
+    lines = []
+    for _ in range(120):
+        line = list(range(100))
+        for k in r.sample(range(100), 6):
+            line[k] = r.randrange(100, 400)
+        lines.append(line)
+    rows = [(i, " ".join(f"w{x}" for x in line)) for i, line in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kind, made = type(docs), []
+    group = kind.groupBy
+
+    def counted(self, *cols):
+        if cols == (["x_id", "x_line", "y_id", "y_line"],):
+            made.append((self.count(), self.distinct().count()))
+        return group(self, *cols)
+
+    monkeypatch.setattr(kind, "groupBy", lambda self, *cols: counted(self, *cols) if cols and isinstance(cols[0], list) else group(self, *cols))
+    found = linededup.removed_lines(docs, buckets=1024)
+    assert {(x["id"], x["line"]) for x in found.collect()} == removed_lines(rows, 4, 5)
+    [(joined, pairs)] = made
+    assert pairs and joined < 3 * pairs
